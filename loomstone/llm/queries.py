@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import gbdt
+from loomstone.llm import gbdt, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbdt.score(docs, forest).withColumn("keep", F.col("score") >= 0.5)
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, group_id, keep) for all documents with a text: the near-duplicate group and whether this one stays."""
+    groups = simhash.duplicates(_table(spark, sf_dir, "documents"))
+    return groups.withColumn("keep", F.col("doc_id") == F.col("group_id"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_classifier,)}
+    return {f.__name__: f for f in (op2_quality_classifier, op5_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
