@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import gbdt, simhash
+from loomstone.llm import gbdt, mixing, packing, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +29,27 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("keep", F.col("doc_id") == F.col("group_id"))
 
 
+def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, epoch, position) in training order, for a run as long as the corpus."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_position").alias("position"))
+
+
+def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_group, bin, n_tokens, pieces) for sequences of 4096 tokens of all documents."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents; (doc_id, part, part_row, n_tokens, start, stop, file) tells where they are."""
+    return tokens.write_tokens(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_classifier, op5_simhash_dedup)}
+    return {f.__name__: f for f in (
+        op2_quality_classifier, op4_curriculum_mixing, op5_simhash_dedup, op7_sum_of_squares_packing, op8_token_files,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_curriculum_mixing": mixing.duck_sql()}
