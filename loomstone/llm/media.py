@@ -130,10 +130,28 @@ def new_chunks(store: DataFrame, existing: DataFrame) -> DataFrame:
 def restore(lists: DataFrame, store: DataFrame, with_payload: bool = True) -> DataFrame:
     """(sha256, payload, restored) for each distinct payload of `lists`, put together from the store. restored is true
     only if all chunks are there and the SHA-256 of the result is the payload's; a payload that isn't has a null
-    payload. Equal payloads are restored once."""
+    payload. Equal payloads are restored once.
+
+    Every chunk is held against its digest where it is stored. A payload of one chunk has that chunk's digest, so it is
+    proven there and, unless the payloads are asked for, its bytes go no further; those of longer payloads are sent on
+    to be put together."""
     distinct = lists.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.first("chunks").alias("chunks"))
-    wanted = distinct.select("sha256", F.posexplode_outer("chunks").alias("seq", "c")).select("sha256", "seq", F.col("c.digest").alias("digest"))
-    found = wanted.join(store, "digest", "left").groupBy("sha256").agg(F.collect_list(F.struct("seq", "packed")).alias("parts"))
+    wanted = distinct.select("sha256", F.size("chunks").alias("n"), F.posexplode_outer("chunks").alias("seq", "c"))
+    located = wanted.select("sha256", "n", "seq", F.col("c.digest").alias("digest")).join(store, "digest", "left")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in slices(batches, 4):
+            keep, ok = [], []
+            for sha, n, digest, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+                good = digest is None if packed is None else hashlib.sha256(expand.decompress(packed)).digest() == digest
+                alone = n == 1 and not with_payload  # the chunk is the payload: nothing to put together
+                ok.append(good and (not alone or sha == digest))
+                keep.append(None if alone else packed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keep, pa.binary()), pa.array(ok, pa.bool_())], names=["sha256", "seq", "packed", "ok"])
+
+    stored = located.select("sha256", "n", "seq", "digest", "packed").mapInArrow(checked, "sha256 binary, seq int, packed binary, ok boolean")
+    found = stored.groupBy("sha256").agg(F.collect_list(F.struct("seq", "packed")).alias("parts"), F.every("ok").alias("ok"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -141,14 +159,16 @@ def restore(lists: DataFrame, store: DataFrame, with_payload: bool = True) -> Da
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 whole, good = [], []
-                for digest, parts in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for digest, parts, ok in zip(*(part.column(i).to_pylist() for i in range(3))):
                     parts = sorted((p for p in parts if p["seq"] is not None), key=lambda p: p["seq"])
-                    bad = any(p["packed"] is None for p in parts)
-                    payload = None if bad else b"".join(expand.decompress(p["packed"]) for p in parts)
-                    ok = not bad and hashlib.sha256(payload).digest() == digest
-                    whole.append(payload if ok and with_payload else None)
+                    if ok and (with_payload or len(parts) != 1):
+                        payload = b"".join(expand.decompress(p["packed"]) for p in parts)
+                        ok = hashlib.sha256(payload).digest() == digest
+                        whole.append(payload if ok and with_payload else None)
+                    else:
+                        whole.append(None)
                     good.append(ok)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.binary()), pa.array(good)], names=["sha256", "payload", "restored"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.binary()), pa.array(good, pa.bool_())], names=["sha256", "payload", "restored"])
 
     return found.mapInArrow(joined, "sha256 binary, payload binary, restored boolean")
 
