@@ -1,49 +1,17 @@
-"""Registry of the reference operators' queries: name -> Spark plan, and the DuckDB statement for the same rows."""
+"""All queries of the reference operators; importing the plan modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loomstone.functions import text as tx
-from loomstone.sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_PLANS: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(fn: Query) -> Query:
-        _PLANS[fn.__name__] = fn
-        if sql:
-            _SQL[fn.__name__] = sql
-        return fn
-
-    return register
-
-
-@query(
-    f"""
-    SELECT lang, source, count(*) AS n_seen, count(*) FILTER (keep) AS n_kept,
-           CAST(coalesce(sum(length(text)) FILTER (keep), 0) AS BIGINT) AS kept_chars
-    FROM (SELECT *, {tx.DUCK_KEEP_LATIN} AS keep FROM documents) GROUP BY lang, source
-    """
-)
-def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("keep", tx.keep_document("text", "source", "a-zA-Z"))
-    return docs.groupBy("lang", "source").agg(
-        F.count("*").alias("n_seen"),
-        F.count_if("keep").alias("n_kept"),
-        F.coalesce(F.sum(F.when(F.col("keep"), F.length("text"))), F.lit(0)).cast("bigint").alias("kept_chars"),
-    )
+from loomstone.plans import (  # noqa: F401
+    bpe_plans, cleaning_plans, conversation_plans, dedup_plans, evaluation_plans, mixture_plans, packing_plans, quality_plans,
+    schedule_plans, stream_plans, vector_plans,
+)
+from loomstone.plans.registry import PLANS, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_PLANS)
+    return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
