@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order under the curriculum's weights: sources with more tokens than their share are cut
     where it ends, those with fewer are repeated (up to four passes)."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, positions=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,41 +65,44 @@ def segments(supply: DataFrame, schedule: dict[str, list[int]], knots: list[floa
 def mix(
     docs: DataFrame, schedule: dict[str, list[int]] = SCHEDULE, knots: list[float] = KNOTS, default: list[int] = DEFAULT,
     total: int | None = None, max_epochs: int = 4, seed: str = "mix", prefix: int = 2, n_tokens: Column | None = None,
+    positions: bool = True,
 ) -> DataFrame:
-    """The columns of docs and _tokens, _epoch, _position (in tokens of the whole run), sorted by position.
+    """The columns of docs and, with `positions`, _tokens, _epoch and _position (in tokens of the whole run), sorted by
+    position.
 
     `total` is the run's length in tokens, by default the tokens of docs. A source not in the schedule gets the default
     weights; a null source is a source of its own; a null or empty text counts one token; null ids and repeated rows are
     documents of their own (rows equal in hash, id and tokens follow each other in any order). Ties of position are
-    ordered by source and id. A source of weight 0 throughout places nothing; an empty table gives no rows. The columns
-    _src, _hash, _bucket, _tokens, _epoch and _position are reserved."""
+    ordered by source and id. A source of weight 0 throughout places nothing; an empty table gives no rows. The
+    caller's columns travel in one struct, so their names can't clash with those used here."""
     rows = docs.select(
-        "*", F.coalesce(F.col("source"), F.lit("")).alias("_src"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_hash"),
-        (token_estimate() if n_tokens is None else n_tokens).alias("_tokens"),
-    ).withColumn("_bucket", F.substring("_hash", 1, prefix))
-    totals = rows.groupBy(F.col("_src").alias("src"), F.col("_bucket").alias("bucket")).agg(F.sum("_tokens").alias("n"))
+        F.struct(*docs.columns).alias("row"), F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").alias("named"), F.col("doc_id").alias("id"),
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("hash"),
+        (token_estimate() if n_tokens is None else n_tokens).alias("tokens"),
+    ).withColumn("bucket", F.substring("hash", 1, prefix))
+    totals = rows.groupBy("src", "bucket").agg(F.sum("tokens").alias("n"))
     running = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("src", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
     plan = segments(totals.groupBy("src").agg(F.sum("n").alias("supply")), schedule, knots, default, total)
     per_source = plan.groupBy("src", "supply", "total", "demand").agg(F.collect_list(F.struct("t0", "t1", "p0", "p1", "d0", "d1", "span")).alias("plan"))
     starts = bases.join(per_source, "src")  # a row for each source and bucket: no larger than the sources, whatever the corpus
-    inside = Window.partitionBy("_src", "_bucket").orderBy("_hash", "doc_id", "_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src", "bucket").orderBy("hash", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        rows.withColumn("_before", F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
-        .join(starts, (F.col("_src") == F.col("src")) & (F.col("_bucket") == F.col("bucket")))
-        .withColumn("_offset", F.col("base") + F.col("_before"))
-        .withColumn("_passes", F.least(F.lit(max_epochs), F.ceil(F.col("demand") / F.col("supply"))).cast("int"))
-        .where("_passes > 0")
-        .withColumn("_epoch", F.explode(F.expr("sequence(0, _passes - 1)")))
-        .withColumn("_c", (F.col("_epoch") * F.col("supply") + F.col("_offset")).cast("double"))
-        .where("_c < demand")
-        .withColumn("_g", F.expr("element_at(filter(plan, g -> g.d0 <= _c AND _c < g.d1), 1)"))
-    )
-    y = "((_c - _g.d0) / _g.span)"
-    u = f"CASE WHEN {y} <= 0 THEN 0.0D ELSE 2.0D * {y} / (_g.p0 + sqrt(greatest(_g.p0 * _g.p0 + 2.0D * (_g.p1 - _g.p0) * {y}, 0.0D))) END"
-    at = F.expr(f"CAST(floor((_g.t0 + ({u}) * (_g.t1 - _g.t0)) * CAST(total AS DOUBLE)) AS BIGINT)")
-    return placed.withColumn("_position", at).select(*docs.columns, "_tokens", "_epoch", "_position").orderBy("_position", "source", "doc_id")
+        rows.withColumn("earlier", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+        .join(starts, ["src", "bucket"])
+        .withColumn("passes", F.least(F.lit(max_epochs), F.ceil(F.col("demand") / F.col("supply"))).cast("int"))
+        .where("passes > 0")
+        .withColumn("epoch", F.explode(F.expr("sequence(0, passes - 1)")))
+        .withColumn("c", (F.col("epoch") * F.col("supply") + F.col("base") + F.col("earlier")).cast("double"))
+        .where("c < demand")
+        .withColumn("g", F.expr("element_at(filter(plan, g -> g.d0 <= c AND c < g.d1), 1)"))
+    )
+    y = "((c - g.d0) / g.span)"
+    u = f"CASE WHEN {y} <= 0 THEN 0.0D ELSE 2.0D * {y} / (g.p0 + sqrt(greatest(g.p0 * g.p0 + 2.0D * (g.p1 - g.p0) * {y}, 0.0D))) END"
+    at = F.expr(f"CAST(floor((g.t0 + ({u}) * (g.t1 - g.t0)) * CAST(total AS DOUBLE)) AS BIGINT)")
+    ordered = placed.withColumn("position", at).orderBy("position", "named", "id")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return ordered.select(*own, *([F.col("tokens").alias("_tokens"), F.col("epoch").alias("_epoch"), F.col("position").alias("_position")] if positions else []))
 
 
 def duck_sql(schedule: dict[str, list[int]] = SCHEDULE, knots: list[float] = KNOTS, default: list[int] = DEFAULT, max_epochs: int = 4, seed: str = "mix") -> str:

@@ -41,7 +41,8 @@ def op3_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, position) in training order, for a run as long as the corpus."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_estimate().alias("n"))
+    mixed = mixing.mix(docs, n_tokens=F.col("n"))
     return mixed.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_position").alias("position"))
 
 
