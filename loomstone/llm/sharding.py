@@ -60,8 +60,11 @@ def assign(df: DataFrame, key: str, counts: list[int], names: list[str] | None =
         raw = np.frombuffer(bytes.fromhex("".join(hexes)), dtype=">u8").astype(np.uint64)
         return pd.DataFrame({f"s{i}": jump(raw, n).astype(np.int32) for i, n in enumerate(counts)})
 
-    held = df.select("*", shards_of(stable_key(key)).alias("_shards"))
-    return held.select(*(df[c] for c in df.columns), *(F.col(f"_shards.s{i}").alias(n) for i, n in enumerate(names)))
+    found = "_found"
+    while found in df.columns:
+        found += "_"
+    held = df.withColumn(found, shards_of(stable_key(key)))
+    return held.select(*df.columns, *(F.col(f"{found}.s{i}").alias(n) for i, n in enumerate(names)))
 
 
 def sharded(df: DataFrame, key: str, shards: int, name: str = "shard") -> DataFrame:
