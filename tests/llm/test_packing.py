@@ -1,0 +1,110 @@
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomstone.llm import packing as pk
+
+
+def brute_pack(sizes, capacity):
+    """Tries every open bin and a new one, recomputing the whole sum of squares each time."""
+    gaps, bins = [], []
+    cost = lambda g: sum(g.count(x) ** 2 for x in set(g) if x > 0)
+    for i, s in enumerate(sizes):
+        options = []
+        for gap in sorted({g for g in gaps if g >= s}):
+            b = max(k for k, g in enumerate(gaps) if g == gap)
+            options.append((cost([g - s if k == b else g for k, g in enumerate(gaps)]), 0, gap))
+        options.append((cost([*gaps, capacity - s]), 1, capacity))
+        _, new, gap = min(options)
+        if new:
+            gaps.append(capacity - s)
+            bins.append([i])
+        else:
+            b = history_top(gaps, gap, order)
+            gaps[b] -= s
+            bins[b].append(i)
+            at = b
+        at = len(gaps) - 1 if new else b
+        order.append(at)
+    return bins
+
+
+order: list = []
+
+
+def history_top(gaps, gap, order):
+    """Of the bins with that gap, the one that got it last."""
+    same = [k for k, g in enumerate(gaps) if g == gap]
+    return max(same, key=lambda k: max(i for i, b in enumerate(order) if b == k))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=40))
+def test_placement_equals_recomputed_sums(sizes):
+    order.clear()
+    packer = pk.SumOfSquares(12)
+    for i, s in enumerate(sizes):
+        packer.place(i, s)
+    assert packer.bins == brute_pack(sizes, 12)
+
+
+def test_counts_follow_the_bins():
+    rng = random.Random(4)
+    packer, sizes = pk.SumOfSquares(64), [rng.randrange(1, 65) for _ in range(2000)]
+    for i, s in enumerate(sizes):
+        packer.place(i, s)
+    gaps = [64 - sum(sizes[i] for i in b) for b in packer.bins]
+    assert min(gaps) >= 0 and sorted(i for b in packer.bins for i in b) == list(range(2000))
+    assert [gaps.count(g) for g in range(1, 64)] == packer.count[1:64].tolist()
+    next_fit, room = 0, 0
+    for n in sizes:
+        if n > room:
+            next_fit, room = next_fit + 1, 64
+        room -= n
+    assert sum(sizes) / 64 <= len(packer.bins) < 0.85 * next_fit
+
+
+def test_every_token_is_in_one_piece(spark):
+    rng = random.Random(5)
+    sizes = [(i, rng.choice([1, 5, 99, 100, 101, 200, 250, 1000])) for i in range(500)]
+    frame = spark.createDataFrame([(d, n, "x") for d, n in sizes], "doc_id bigint, n_tokens bigint, bin string")
+    bins = pk.pack(frame, capacity=100, group_docs=100).collect()
+    assert len({r["pack_group"] for r in bins}) == 5
+    assert len({(r["pack_group"], r["bin"]) for r in bins}) == len(bins)
+    got = {}
+    for r in bins:
+        assert r["n_tokens"] == sum(p["length"] for p in r["pieces"]) <= 100
+        for p in r["pieces"]:
+            got.setdefault(p["doc_id"], []).append((p["start"], p["length"]))
+    for d, n in sizes:
+        at = 0
+        for start, length in sorted(got[d]):
+            assert start == at
+            at += length
+        assert at == n
+    groups = {}
+    for r in bins:
+        for p in r["pieces"]:
+            groups.setdefault(p["doc_id"], set()).add(r["pack_group"])
+    assert all(len(g) == 1 for g in groups.values())
+
+
+def test_edge_rows(spark):
+    rows = [(1, 0), (2, None), (3, -4), (None, 7), (5, 3), (5, 3), (6, 5000)]
+    bins = pk.pack(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), capacity=10).collect()
+    pieces = [(p["doc_id"], p["length"]) for r in bins for p in r["pieces"]]
+    assert sum(n for d, n in pieces if d == 6) == 5000 and sorted(str(p) for p in pieces if p[0] != 6) == ["(5, 3)", "(5, 3)", "(None, 7)"]
+    empty = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
+    assert pk.pack(empty).count() == 0
+
+
+def test_documents_with_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "two words", 5), (4, "long " * 30_000, 5)], "doc_id bigint, text string, n_tokens int")
+    from loomstone.llm.tokens import count_tokens
+
+    counts = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs).collect()}
+    assert counts[1] == counts[2] == 1 and counts[3] == 3 and counts[4] > 30_000
+    packed = pk.pack_documents(docs, 4096).collect()
+    assert sum(r["n_tokens"] for r in packed) == sum(counts.values())
+    assert pk.pack_documents(docs.limit(0)).count() == 0
