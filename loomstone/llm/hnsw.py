@@ -67,20 +67,23 @@ class Graph:
             row[nodes] = np.arange(len(nodes))
             links = np.full((len(nodes), 2 * m if at == 0 else m), -1, dtype=np.int32)
             self.layers = [(nodes, links, row), *made]
-            self._insert(nodes, links, row, ef_build, batch)
+            self._insert(nodes, links, row, ef_build, batch, len(made[0][0]) if made else 0)
             made = self.layers
         self.layers = made
 
-    def _insert(self, nodes: np.ndarray, links: np.ndarray, row: np.ndarray, ef: int, batch: int) -> None:
+    def _insert(self, nodes: np.ndarray, links: np.ndarray, row: np.ndarray, ef: int, batch: int, above: int) -> None:
+        """Inserts the layer's nodes, first the `above` ones that are in the next layer too. These start their searches
+        at the first node, as a descent would end at themselves or at nodes still to come."""
         width, done = links.shape[1], 0
         while done < len(nodes):
-            new = nodes[done : done + min(batch, max(32, done))]
+            stop = above if done < above else len(nodes)
+            new = nodes[done : min(stop, done + min(batch, max(32, done)))]
             among = 2 - 2 * self.x[new] @ self.x[new].T
             np.fill_diagonal(among, INF)
             ids, d = np.where(np.isfinite(among), new[None, :], -1), among
             d, ids = _top(d, ids, min(ef, len(new)))
             if done:
-                enter = self._descend(self.x[new], 1)
+                enter = np.full(len(new), nodes[0]) if done < above else self._descend(self.x[new], 1)
                 fd, found = self._search(self.x[new], enter, 0, ef)
                 d, ids = np.concatenate([d, fd], axis=1), np.concatenate([ids, found], axis=1)
             chosen = diverse(self.x, ids.astype(np.int32), d, width)
