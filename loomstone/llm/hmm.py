@@ -76,12 +76,24 @@ def word_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def top_words(counts: DataFrame, vocabulary: int) -> list[tuple[str, int]]:
+    """The `vocabulary` most frequent words, ties by word. The count of the last of them is found first, from the
+    distinct counts, of which there are few; then only words with at least that count are sorted and sent. (A plain
+    sorted limit would send that many words from every partition.)"""
+    enough, least = 0, 1
+    for row in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(vocabulary).toLocalIterator():
+        enough, least = enough + row["words"], row["n"]
+        if enough >= vocabulary:
+            break
+    return [(r["word"], r["n"]) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+
+
 def learn_words(docs: DataFrame, vocabulary: int, buckets: int) -> tuple[Words, np.ndarray]:
-    """The most frequent words (ties by word) and their counts; at most `vocabulary` rows come to the driver."""
+    """The most frequent words and their counts; the counts of all words are written once to the shared folder."""
     if vocabulary + buckets > 1 << 16:
         raise ValueError("symbols must fit 16 bits")
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    return Words({r["word"]: i for i, r in enumerate(top)}, buckets), np.array([r["n"] for r in top], dtype=np.float64)
+    top = top_words(cut(word_counts(docs)), vocabulary)
+    return Words({w: i for i, (w, _) in enumerate(top)}, buckets), np.array([n for _, n in top], dtype=np.float64)
 
 
 def encode(docs: DataFrame, words: Words) -> DataFrame:
