@@ -75,5 +75,6 @@ class DuplicateFilter:
 
 def new_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """(step, path) of the files that match, as a stream: with a trigger of an hour it polls for new snapshots."""
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(folder)
     return stream.select(F.regexp_extract("path", r"step_(\d+)", 1).cast("int").alias("step"), "path")
