@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from loomstone.llm.common import cut
 
 INF = np.float32(np.inf)
+Found = tuple[np.ndarray, np.ndarray]
 
 
 def _top(d: np.ndarray, ids: np.ndarray, width: int, *more: np.ndarray) -> list[np.ndarray]:
@@ -123,7 +124,7 @@ class Graph:
             enter = self._search(q, enter, at, 4)[1][:, 0].astype(np.int64)
         return enter
 
-    def _search(self, q: np.ndarray, enter: np.ndarray, at: int, ef: int, step: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, q: np.ndarray, enter: np.ndarray, at: int, ef: int, step: int = 2) -> Found:
         """(distances, nodes) of the ef best nodes found from the entries, ascending; -1 and inf where there are fewer."""
         nodes, links, row = self.layers[at]
         n = len(q)
@@ -165,7 +166,7 @@ class Graph:
             best[going], ids[going], open_[going] = _top(d, i, ef, o)
         return best, ids
 
-    def nearest(self, q: np.ndarray, k: int, ef: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, q: np.ndarray, k: int, ef: int, batch: int = 512) -> Found:
         """(distances, nodes) of the k nearest found for each query, -1 where there are fewer."""
         got = []
         for s in range(0, len(q), batch):
