@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def byte_values(text: str) -> str:
+    """SQL for the UTF-8 bytes of a text as an array of INT: each byte becomes a Latin-1 character, whose code point it
+    is. Empty for an empty text."""
+    return f"CASE WHEN octet_length({text}) = 0 THEN CAST(array() AS ARRAY<INT>) ELSE transform(split(decode(encode({text}, 'UTF-8'), 'ISO-8859-1'), ''), c -> ascii(c)) END"
+
+
 def fnv1a(word: str, buckets: int = 1 << 18) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes, modulo buckets; an SQL expression is taken for `word`."""
-    step = "CAST(conv(hex(substring(encode({w}, 'utf-8'), i, 1)), 16, 10) AS BIGINT)".format(w=word)
-    return F.expr(
-        f"""CASE WHEN octet_length({word}) = 0 THEN 2166136261L % {buckets} ELSE aggregate(sequence(1, octet_length({word})), 2166136261L,
-        (h, i) -> ((h ^ {step}) * 16777619L) & 4294967295L) % {buckets} END"""
-    )
+    return F.expr(f"aggregate({byte_values(word)}, 2166136261L, (h, b) -> ((h ^ b) * 16777619L) & 4294967295L) % {buckets}")
 
 
 def duck_fnv1a(word: str, buckets: int = 1 << 18) -> str:

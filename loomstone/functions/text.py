@@ -23,13 +23,13 @@ def script_ratio(text: str, letters: str = HANGUL) -> Column:
     )
 
 
-def repetition_ratio(text: str, n: int = 20) -> Column:
-    """Share of repeated grams among the back-to-back n-character grams; 0 under 2n characters.
+def gram_repetition(column: str, width: int = 20) -> Column:
+    """Share of repeated grams among the back-to-back grams of `width` characters; 0 for texts under two grams.
 
     A gram that would end exactly at the end of the text isn't counted."""
-    count = f"CAST((length({text}) - {n + 1}) DIV {n} + 1 AS INT)"
-    grams = f"slice(regexp_extract_all({text}, '(?s).{{{n}}}', 0), 1, {count})"  # one pass, where substring() would start over for each
-    return F.expr(f"CASE WHEN length({text}) < {2 * n} THEN 0.0D ELSE 1.0D - size(array_distinct({grams})) / CAST({count} AS DOUBLE) END")
+    count = f"CAST((length({column}) - {width + 1}) DIV {width} + 1 AS INT)"
+    grams = f"slice(regexp_extract_all({column}, '(?s).{{{width}}}', 0), 1, {count})"  # one pass, where substring() would start over for each
+    return F.expr(f"CASE WHEN length({column}) < {2 * width} THEN 0.0D ELSE 1.0D - size(array_distinct({grams})) / CAST({count} AS DOUBLE) END")
 
 
 def keep_document(
@@ -39,7 +39,7 @@ def keep_document(
     keep = F.length(text) >= min_chars
     if letters is not None:
         keep = keep & (script_ratio(text, letters) >= min_script)
-    return F.coalesce(keep & (repetition_ratio(text) <= max_repetition), F.lit(False))
+    return F.coalesce(keep & (gram_repetition(text) <= max_repetition), F.lit(False))
 
 
 def words(text: str) -> Column:

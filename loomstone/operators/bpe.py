@@ -12,12 +12,16 @@ import json
 from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import cached_property
+from pathlib import Path
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPECIAL = ("<|bos|>", "<|eos|>", "<|pad|>", "<|im_start|>", "<|im_end|>")
+from loomstone.functions.hashing import byte_values
+
+SPECIAL = tuple(f"<|{name}|>" for name in ("bos", "eos", "pad", "im_start", "im_end"))
+Pair = tuple[int, int]
 
 _WORD_WITH_LEAD = r"[^\p{N}\p{L}\n\r]?+\p{L}+"
 _SUFFIX = "'(?i:ll|re|ve|[dmst])"
@@ -44,10 +48,18 @@ def pretoken_counts(docs: DataFrame) -> DataFrame:
 
 def pair_counts(counts: DataFrame) -> DataFrame:
     """(a, b, cnt): adjacent bytes of the chunks, overlapping occurrences counted, weighted by the chunk's count."""
-    raw = counts.select("cnt", F.hex(F.encode("chunk", "UTF-8")).alias("x")).where("length(x) >= 4")
-    at = lambda shift: f"CAST(conv(substring(x, i * 2 + {1 + shift}, 2), 16, 10) AS INT)"
-    pairs = F.expr(f"transform(sequence(0, CAST(length(x) / 2 AS INT) - 2), i -> struct({at(0)} AS a, {at(2)} AS b))")
-    return raw.select("cnt", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("cnt").alias("cnt"))
+    return byte_pairs(counts).select("cnt", F.explode("pairs").alias("p")).groupBy("p.a", "p.b").agg(F.sum("cnt").alias("cnt"))
+
+
+def byte_pairs(counts: DataFrame) -> DataFrame:
+    """The columns of counts and `pairs`, adjacent bytes of the chunk in order; chunks of one byte are left out."""
+    raw = counts.withColumn("x", F.expr(byte_values("chunk"))).where("size(x) > 1")
+    return raw.select(*counts.columns, F.expr("zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1), (a, b) -> struct(a, b))").alias("pairs"))
+
+
+def pair_index(counts: DataFrame) -> DataFrame:
+    """(a, b, words): how many distinct chunks hold each pair, the inverted index by size."""
+    return byte_pairs(counts).select(F.explode(F.array_distinct("pairs")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("words"))
 
 
 @dataclass
@@ -91,28 +103,25 @@ class Bpe:
 
     def encode(self, text: str, allow_special: bool = False) -> list[int]:
         """Special strings become control ids only where allowed, even if the whole text is one."""
-        parts = regex.split("(" + "|".join(map(regex.escape, self.special)) + ")", text) if allow_special and self.special else [text]
-        ids: list[int] = []
-        for part in parts:
-            if allow_special and part in self.special_ids:
-                ids.append(self.special_ids[part])
-            else:
-                for chunk in pretokenize(part):
-                    ids += self.encode_chunk(chunk.encode("utf-8", "surrogatepass"))
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
+        plain = lambda t: [i for c in pretokenize(t) for i in self.encode_chunk(c.encode("utf-8", "surrogatepass"))]
+        if not (allow_special and self.special):
+            return plain(text)
+        found, at = [], 0
+        for hit in regex.finditer("|".join(map(regex.escape, self.special)), text):
+            found += plain(text[at : hit.start()]) + [self.special_ids[hit.group()]]
+            at = hit.end()
+        return found + plain(text[at:])
+
+    def decode(self, tokens: list[int]) -> str:
         """Malformed bytes become U+FFFD; an unknown id is an error."""
-        return b"".join(self.vocab[i] for i in ids).decode("utf-8", errors="replace")
+        return str(b"".join(self.vocab[i] for i in tokens), "utf-8", "replace")
 
     def save(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump({"special": self.special, "merges": self.merges}, f)
+        Path(path).write_text(json.dumps({"special": self.special, "merges": self.merges}), "utf-8")
 
     @classmethod
     def load(cls, path: str) -> Bpe:
-        with open(path, encoding="utf-8") as f:
-            held = json.load(f)
+        held = json.loads(Path(path).read_text("utf-8"))
         return cls([(a, b) for a, b in held["merges"]], tuple(held["special"]))
 
 
@@ -139,10 +148,10 @@ def learn(counts: dict[str, int], vocab_size: int, special: tuple[str, ...] = SP
     if room <= 0:
         raise ValueError("vocab_size leaves no room for merges")
     chunks = [(list(c.encode("utf-8", "surrogatepass")), n) for c, n in counts.items()]
-    total: dict[tuple[int, int], int] = defaultdict(int)
-    holders: dict[tuple[int, int], set[int]] = defaultdict(set)
+    total: dict[Pair, int] = defaultdict(int)
+    holders: dict[Pair, set] = defaultdict(set)
 
-    def add(i: int, sign: int) -> set[tuple[int, int]]:
+    def add(i: int, sign: int) -> set[Pair]:
         ids, n = chunks[i]
         pairs = list(zip(ids, ids[1:]))
         for p in pairs:
@@ -154,14 +163,14 @@ def learn(counts: dict[str, int], vocab_size: int, special: tuple[str, ...] = SP
         add(i, 1)
     queue = [(-n, p) for p, n in total.items()]
     heapq.heapify(queue)
-    merges: list[tuple[int, int]] = []
-    while queue and len(merges) < room:
+    merges: list[Pair] = []
+    while queue and room > len(merges):
         count, pair = heapq.heappop(queue)
         if total[pair] != -count or not count:
             continue
         new = 256 + len(merges)
         merges.append(pair)
-        touched: set[tuple[int, int]] = set()
+        touched: set[Pair] = set()
         for i in holders.pop(pair):
             if pair not in zip(chunks[i][0], chunks[i][0][1:]):
                 continue

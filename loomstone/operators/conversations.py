@@ -60,3 +60,8 @@ def history(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     said = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     return turns.select("conv_id", "turn", F.array_join(F.collect_list(said).over(w), "").alias("history"))
+
+
+def printable(text: Column, end: str = "<|eos|>", shown: str = "[end of document]") -> Column:
+    """Generated text for reading: the end token as a marker."""
+    return F.replace(text, F.lit(end), F.lit(shown))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHANCE = {"copa": 0.5, "boolq": 0.5, "hellaswag": 0.25}
+#: One over the number of choices.
+CHANCE = {task: 1 / choices for task, choices in (("copa", 2), ("boolq", 2), ("hellaswag", 4))}
 
 
 def perplexity(losses: DataFrame, batch: str, loss: str) -> DataFrame:

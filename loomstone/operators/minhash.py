@@ -70,11 +70,17 @@ def _mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return fold(t + times_small(a, b_lo))
 
 
+def short_digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8).digest()
+
+
 def exact_signature(text: str, perms: list[tuple[int, int]]) -> list[int]:
-    grams = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+    """Minima of (a * h + b) mod 2^61 - 1 over the hashes of the distinct grams; zeros for a text without one."""
+    starts = range(max(0, len(text) - GRAM + 1))
+    grams = set(map(lambda s: text[s : s + GRAM], starts))
     if not grams:
         return [0] * len(perms)
-    raw = b"".join(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest() for g in grams)
+    raw = b"".join(short_digest(g.encode("utf-8", "surrogatepass")) for g in grams)
     h = np.frombuffer(raw, dtype="<u8") % np.uint64(MERSENNE61)
     out = []
     for a, b in perms:
@@ -93,7 +99,7 @@ def exact_band_keys(docs: DataFrame, bands: int = BANDS, n: int = PERMUTATIONS,
 
         def one(t: str) -> list[bytes]:
             s = exact_signature(t[:prefix], perms)
-            return [hashlib.blake2b(repr(s[b * rows : (b + 1) * rows]).encode(), digest_size=8).digest() for b in range(bands)]
+            return [short_digest(repr(s[at : at + rows]).encode()) for at in range(0, len(s), rows)]
 
         return pd.Series([one(t) for t in texts])
 

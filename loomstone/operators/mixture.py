@@ -64,6 +64,33 @@ def within_budget(docs: DataFrame, target: int, order: list[str]) -> DataFrame:
     return spent.where(F.col("spent") < F.floor(F.lit(target) * F.col("ratio")))
 
 
+def unique_within_budget(docs: DataFrame, bands: DataFrame, target: int, max_rounds: int = 30) -> DataFrame:
+    """Duplicate filter and budgets, which depend on each other: a document that isn't read, as its source's budget is
+    met, can't register its keys.
+
+    docs: (ord, source, ratio, n_tok) with `ord` the unique joint order; bands: (ord, band, key), none for documents
+    that aren't subject to the filter. Starting with all documents read, the filter decides which are kept, the kept
+    tokens decide which are read, until that doesn't change; every round settles at least one more document in order.
+    Returns the kept rows of docs; raises if max_rounds aren't enough."""
+    from loomstone.operators.minhash import _cut, greedy_keep
+
+    docs, bands = _cut(docs), _cut(bands)
+    digest = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("ord"))).first())
+    earlier = Window.partitionBy("source").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    free = docs.select("ord").join(bands, "ord", "left_anti")
+    read, before = docs.select("ord"), None
+    for _ in range(max_rounds):
+        kept = greedy_keep(bands.join(read, "ord", "left_semi"), "ord").unionByName(free.join(read, "ord", "left_semi"))
+        marked = docs.join(kept.withColumn("kept", F.lit(True)), "ord", "left")
+        spent = F.coalesce(F.sum(F.when(F.col("kept"), F.col("n_tok"))).over(earlier), F.lit(0))
+        marked = _cut(marked.withColumn("spent", spent).where(F.col("spent") < F.floor(F.lit(target) * F.col("ratio"))))
+        read = marked.select("ord")
+        if (after := digest(read)) == before:
+            return marked.where("kept").select(docs.columns)
+        before = after
+    raise RuntimeError(f"budgets and duplicates didn't settle in {max_rounds} rounds")
+
+
 def validation_prefix(docs: DataFrame, target: int, ratio: float, order: list[str]) -> DataFrame:
     """`split`: 'val' while the stream's earlier tokens are below target * ratio, then 'train'; `before` is that sum."""
     summed = global_running_sum(docs, order, "n_tok", "before")

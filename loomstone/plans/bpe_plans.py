@@ -43,10 +43,7 @@ def best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PAIRS} SELECT a, b, CAST(count(DISTINCT word) AS BIGINT) AS words FROM (SELECT word, ('0x' || substr(x, (2 * i + 1)::BIGINT, 2))::INTEGER AS a, ('0x' || substr(x, (2 * i + 3)::BIGINT, 2))::INTEGER AS b FROM (SELECT word, x, unnest(range(0, length(x) // 2 - 1)) AS i FROM w)) GROUP BY a, b")
 def pair_index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many distinct words hold each byte pair: the inverted index, counted."""
-    raw = _word_counts(spark, sf_dir).select("chunk", F.hex(F.encode("chunk", "UTF-8")).alias("x")).where("length(x) >= 4")
-    at = lambda shift: f"CAST(conv(substring(x, i * 2 + {1 + shift}, 2), 16, 10) AS INT)"
-    pairs = F.expr(f"array_distinct(transform(sequence(0, CAST(length(x) / 2 AS INT) - 2), i -> struct({at(0)} AS a, {at(2)} AS b)))")
-    return raw.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("words"))
+    return bp.pair_index(_word_counts(spark, sf_dir))
 
 
 @query("SELECT doc_id, text FROM documents")

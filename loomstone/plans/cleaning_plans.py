@@ -37,7 +37,7 @@ def script_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, round({tx.DUCK_REPETITION}, 9) AS ratio FROM documents")
 def repetition_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.repetition_ratio("text"), 9).alias("ratio"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.gram_repetition("text"), 9).alias("ratio"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE {tx.DUCK_KEEP}")

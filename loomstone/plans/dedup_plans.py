@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.operators import minhash as mh
+from loomstone.operators import minhash as mh, mixture as mx
+from loomstone.operators.prefix import global_running_sum
 from loomstone.plans.registry import query
 from loomstone.sources.tables import table
 
@@ -41,3 +42,13 @@ def lsh_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents the greedy first-come filter keeps, with exact BLAKE2b signatures; tests hold it against the loop."""
     return mh.greedy_keep(mh.exact_band_keys(table(spark, sf_dir, "documents")))
+
+
+@query()
+def budgeted_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate filter and source budgets settled together, over all documents in the joint order of turns."""
+    docs = table(spark, sf_dir, "documents")
+    turned = mx.turns(docs.select("doc_id", "source", F.octet_length("text").alias("n_tok")), ["doc_id"]).withColumn("one", F.lit(1))
+    rows = global_running_sum(turned, ["rn", "source"], "one", "ord").select("ord", "doc_id", "source", F.lit(0.05).alias("ratio"), "n_tok")
+    bands = mh.exact_band_keys(docs).join(rows.select("ord", "doc_id"), "doc_id").select("ord", "band", "key")
+    return mx.unique_within_budget(rows, bands, 1_000_000).select("doc_id", "source", "n_tok")

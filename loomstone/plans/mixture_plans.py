@@ -77,7 +77,7 @@ def source_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _turned(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mx.repeated(table(spark, sf_dir, "documents"), mx.mix_table(spark, SOURCES))
-    ok = mx.passes_quality(tx.keep_document("text", tx.LATIN), F.lit(1.0) - tx.repetition_ratio("text"))
+    ok = mx.passes_quality(tx.keep_document("text", tx.LATIN), F.lit(1.0) - tx.gram_repetition("text"))
     narrow = docs.select("doc_id", "source", "source_idx", "ratio", "pass_idx", (F.octet_length("text") + 1).alias("n_tok"), ok.alias("ok"))
     return mx.turns(narrow, ["pass_idx", "doc_id"])
 

@@ -11,6 +11,7 @@ from loomstone.operators import linear_quality as lq
 from loomstone.plans.registry import query
 from loomstone.sources.tables import table
 
+THRESHOLDS = tuple(tenths / 10 for tenths in (3, 5, 7, 8, 9))
 _TERMS = f"""w AS (SELECT doc_id, {tx.DUCK_WORDS} AS w FROM documents),
     t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], chr(0), w[i + 1])))) AS term FROM w),
     h AS (SELECT term, {duck_fnv1a('term')} AS idx FROM (SELECT DISTINCT term FROM t)),
@@ -20,7 +21,7 @@ _SCORED = f"s AS (SELECT d.doc_id, l.quality, round({tx.DUCK_LATIN} * (1.0::DOUB
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a plain stand-in score (script share times non-repetition)."""
-    score = tx.script_ratio("text", tx.LATIN) * (F.lit(1.0) - tx.repetition_ratio("text"))
+    score = tx.script_ratio("text", tx.LATIN) * (F.lit(1.0) - tx.gram_repetition("text"))
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", F.round(score, 9).alias("score"))
 
 
@@ -54,9 +55,9 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_SCORED} SELECT th, round(avg(CASE WHEN score >= th THEN 1.0 ELSE 0.0 END), 9) AS pass_rate FROM s, (SELECT unnest([0.3, 0.5, 0.7, 0.8, 0.9]::DOUBLE[]) AS th) GROUP BY th")
+@query(f"WITH {_SCORED} SELECT th, round(avg(CASE WHEN score >= th THEN 1.0 ELSE 0.0 END), 9) AS pass_rate FROM s, (SELECT unnest({list(THRESHOLDS)}::DOUBLE[]) AS th) GROUP BY th")
 def threshold_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = _scored(spark, sf_dir).withColumn("th", F.explode(F.array(*map(F.lit, (0.3, 0.5, 0.7, 0.8, 0.9)))))
+    rates = _scored(spark, sf_dir).withColumn("th", F.explode(F.array(*map(F.lit, THRESHOLDS))))
     return rates.groupBy("th").agg(F.round(F.avg((F.col("score") >= F.col("th")).cast("double")), 9).alias("pass_rate"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstone.operators import schedule as sc
 from loomstone.plans.registry import query
+from loomstone.sources.presets import PRESETS, presets
 
 MAX_LR, MIN_LR, WARM, TOTAL = 3e-4, 3e-5, 2000, 24_000
 
@@ -50,3 +51,15 @@ def periodic_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def micro_batch_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = sc.steps(spark, 100).withColumn("micro", F.explode(F.sequence(F.lit(0), F.lit(255))))
     return grid.select("step", sc.micro_batch_key(F.col("step"), 256, F.col("micro")).alias("key"), F.expr("(step * 37 + 63) div 64 * 64").alias("rounded"))
+
+
+@query(
+    """SELECT name, CAST(batch AS BIGINT) * accumulate * seq_len AS tokens_per_step, CAST(batch AS BIGINT) * accumulate * seq_len * steps AS tokens, CAST(dim // heads AS INTEGER) AS head_dim, CAST((vocab + 63) // 64 * 64 AS INTEGER) AS padded_vocab
+    FROM (VALUES """
+    + ", ".join(f"('{p[0]}', {', '.join(map(str, p[1:9]))}, {p[12]})" for p in PRESETS)
+    + ") v(name, vocab, dim, layers, heads, kv_heads, seq_len, batch, accumulate, steps)"
+)
+def preset_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens for a step and a whole run of each preset, and derived sizes."""
+    step = F.col("batch").cast("bigint") * F.col("accumulate") * F.col("seq_len")
+    return presets(spark).select("name", step.alias("tokens_per_step"), (step * F.col("steps")).alias("tokens"), F.expr("CAST(dim div heads AS INT)").alias("head_dim"), F.expr("CAST((vocab + 63) div 64 * 64 AS INT)").alias("padded_vocab"))

@@ -7,7 +7,6 @@ import random
 
 import numpy as np
 import pytest
-import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import hashing, text as tx
 from loomstone.operators import bpe, conversations as cv, evaluation as ev, linear_quality as lq, minhash as mh, mixture as mx, schedule as sc, shards as sh, vectors as vx
 from loomstone.operators.prefix import global_running_sum
-from loomstone.sources import files, sinks
+from loomstone.sources import files, presets, sinks
 from loomstone.streaming import incremental as inc
 
 
@@ -45,12 +44,24 @@ def test_repetition_boundaries(spark, length):
     t = "a" * length
     grams = [t[i : i + 20] for i in range(0, len(t) - 20, 20)]
     want = 1 - len(set(grams)) / len(grams) if len(t) >= 40 else 0.0
-    assert texts(spark, [t]).select(tx.repetition_ratio("text")).first()[0] == pytest.approx(want)
+    assert texts(spark, [t]).select(tx.gram_repetition("text")).first()[0] == pytest.approx(want)
 
 
 def test_words_hash_and_lossy_decoding(spark):
     rows = ["한글abc123 x!?", "", "é🎉 a　b"]
-    word = regex.compile(r"[가-힣]+|[a-zA-Z]+|[0-9]+|[^\s가-힣a-zA-Z0-9]")
+    kind = lambda c: "k" if "가" <= c <= "힣" else "d" if c in "0123456789" else "l" if c.isascii() and c.isalpha() else None
+
+    def split(t):
+        out, last = [], None
+        for c in t:
+            k = kind(c)
+            if k and k == last:
+                out[-1] += c
+            elif not c.isspace():
+                out.append(c)
+            last = None if c.isspace() else k
+        return out
+
     got = texts(spark, rows).select(tx.words("text").alias("w"), hashing.fnv1a("text").alias("h"), tx.code_points("text").alias("c")).collect()
 
     def fnv(s):
@@ -59,7 +70,7 @@ def test_words_hash_and_lossy_decoding(spark):
             h = (h ^ b) * 16777619 % 2**32
         return h % 2**18
 
-    assert [r["w"] for r in got] == [word.findall(t) for t in rows] and [r["h"] for r in got] == [fnv(t) for t in rows]
+    assert [r["w"] for r in got] == [split(t) for t in rows] and [r["h"] for r in got] == [fnv(t) for t in rows]
     assert got[1]["c"] == []
     raw = spark.createDataFrame([(bytearray(b"ok \xff \xea\xb0\x80"),)], "raw binary")
     assert raw.select(tx.decode_lossy("raw")).first()[0] == "ok � 가"
@@ -73,7 +84,7 @@ def test_pretokens_in_the_jvm_equal_python_and_round_trip(spark):
     rows = STRINGS + CORPUS[:3]
     got = [r["p"] for r in texts(spark, rows).select(bpe.pretokens().alias("p")).collect()]
     assert got == [bpe.pretokenize(t) for t in rows] and ["".join(p) for p in got] == rows
-    assert bpe.pretokenize("저는 학교에 갑니다") == ["저는", " 학교에", " 갑니다"]
+    assert bpe.pretokenize("나는 집에 간다") == ["나는", " 집에", " 간다"]
 
 
 def slow_bpe(corpus, vocab):
@@ -105,7 +116,7 @@ def test_bpe_training_encoding_decoding_and_files(spark, tmp_path):
     for t in STRINGS:
         assert model.decode(model.encode(t)) == t
     assert len(model.encode("안녕하세요")) < len("안녕하세요".encode())
-    chat = "<|im_start|>user\n안녕<|im_end|>"
+    chat = f"{bpe.SPECIAL[3]}user\n반가워{bpe.SPECIAL[4]} 끝"
     assert model.special_ids["<|im_start|>"] in model.encode(chat, True) and model.decode(model.encode(chat, True)) == chat
     assert not set(model.encode(chat)) & set(model.special_ids.values()) and model.decode(model.encode(chat)) == chat
     assert model.encode("<|eos|>") != [model.special_ids["<|eos|>"]] == model.encode("<|eos|>", True)
@@ -148,8 +159,7 @@ def test_greedy_filter_equals_the_loop(spark, seed):
 def test_exact_signatures_and_filter_on_documents(spark, data):
     perms, p = mh.permutations(), 2**61 - 1
     for t in ("abcd", "abcde", "some longer text with grams, 한글 too"):
-        grams = {t[i : i + 5] for i in range(len(t) - 4)}
-        hashes = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little") for g in grams]
+        hashes = [int(hashlib.blake2b(t[i : i + 5].encode(), digest_size=8).digest()[::-1].hex(), 16) for i in range(len(t) - 4)]
         assert mh.exact_signature(t, perms) == [min(((a * h + b) % p for h in hashes), default=0) for a, b in perms]
     docs = spark.read.parquet(f"{data}/documents.parquet")
     bands = mh.exact_band_keys(docs).cache()
@@ -187,6 +197,28 @@ def test_mixture_equals_a_loop_of_turns(spark):
     assert [(r["doc_id"], r["before"], r["split"]) for r in plan.orderBy("before").collect()] == order
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_duplicates_and_budgets_settle_like_the_loop(spark, seed):
+    rng = random.Random(seed)
+    docs = [(i, rng.choice("abc"), rng.randrange(1, 20), [(b, str(rng.randrange(9))) for b in range(2)] if rng.random() < 0.8 else []) for i in range(60)]
+    budget, got, seen, kept = 90, dict.fromkeys("abc", 0), set(), []
+    for i, s, n, keys in docs:
+        if got[s] < budget and not set(keys) & seen:
+            seen |= set(keys)
+            got[s] += n
+            kept.append(i)
+    frame = spark.createDataFrame([(i, s, 0.3, n) for i, s, n, _ in docs], "ord bigint, source string, ratio double, n_tok int")
+    bands = spark.createDataFrame([(i, b, k) for i, _, _, keys in docs for b, k in keys], "ord bigint, band int, key string")
+    assert sorted(r["ord"] for r in mx.unique_within_budget(frame, bands, 301).collect()) == kept
+
+
+def test_presets_and_generated_batches(spark):
+    assert presets.presets(spark).count() == 5 and presets.prompts(spark).count() == 4
+    a, b = (presets.random_batches(spark.newSession() if k else spark, 3, 4, 50, 1000, 7).orderBy("step", "row").collect() for k in (0, 1))
+    assert a == b and len(a) == 12 and all(len(r["ids"]) == 50 and 0 <= min(r["ids"]) <= max(r["ids"]) < 1000 for r in a)
+    assert spark.createDataFrame([("a<|eos|>b",)], "t string").select(cv.printable(F.col("t"))).first()[0] == "a[end of document]b"
+
+
 def test_mix_table_is_validated(spark):
     with pytest.raises(ValueError):
         mx.mix_table(spark, [mx.Source("a", 1.0, repeat=2, dedup=True)])
