@@ -11,11 +11,13 @@ training order, in which every window has the mixture of the schedule at that ti
 
 The running token sums are two-level: documents fall in 16 ** `prefix` buckets by the first digits of their hash, bucket
 totals are summed over buckets, and only within a (source, bucket) is there an ordered window. So a source of any size
-is spread over many tasks.
+is spread over many tasks; the number of buckets follows the number of documents and doesn't change the result.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def segments(supply: DataFrame, schedule: dict[str, list[int]], knots: list[floa
 
 def mix(
     docs: DataFrame, schedule: dict[str, list[int]] = SCHEDULE, knots: list[float] = KNOTS, default: list[int] = DEFAULT,
-    total: int | None = None, max_epochs: int = 4, seed: str = "mix", prefix: int = 2, n_tokens: Column | None = None,
+    total: int | None = None, max_epochs: int = 4, seed: str = "mix", prefix: int | None = None, n_tokens: Column | None = None,
     positions: bool = True,
 ) -> DataFrame:
     """The columns of docs and, with `positions`, _tokens, _epoch and _position (in tokens of the whole run), sorted by
@@ -75,6 +77,8 @@ def mix(
     documents of their own (rows equal in hash, id and tokens follow each other in any order). Ties of position are
     ordered by source and id. A source of weight 0 throughout places nothing; an empty table gives no rows. The
     caller's columns travel in one struct, so their names can't clash with those used here."""
+    if prefix is None:  # some thousand documents of a source in a bucket, were all of one source; a count of Parquet reads only footers
+        prefix = max(1, ceil(log(max(1, docs.count()) / 8192, 16)))
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").alias("named"), F.col("doc_id").alias("id"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("hash"),
