@@ -1,11 +1,11 @@
 """Token ids with a public byte-level BPE vocabulary, and flat binary token files.
 
-Files: each partition writes `part-NNNNN.bin`, the ids of its documents one after the other as little-endian unsigned
-integers (uint16 up to 65,536 ids, else uint32), each document followed by the end-of-document id, and
-`part-NNNNN.idx`, int64 offsets (documents + 1 of them) within that file. Prefix sums over the partitions' totals give
-every partition's base, so a document's global 64-bit offset is base + local offset; `bases.json` keeps them for the
-reader. A file is written under a name of the task attempt and then renamed, so that a lost or repeated task leaves
-one whole file with the same content.
+Files: each partition writes `part-NNNNN-ATTEMPT.bin`, the ids of its documents one after the other as little-endian
+unsigned integers (uint16 up to 65,536 ids, else uint32), each document followed by the end-of-document id, and a file
+`.idx` of int64 offsets (documents + 1 of them) within it. Prefix sums over the partitions' totals give every partition's
+base, so a document's global 64-bit offset is base + local offset; `bases.json` keeps them for the reader. The rows of
+a partition name the task attempt that wrote them, and only files named by committed rows are in `bases.json`: a lost
+or repeated task leaves at most a file that nothing refers to.
 """
 
 from __future__ import annotations
@@ -78,12 +78,12 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part = context.partitionId()
+        part, attempt = context.partitionId(), context.taskAttemptId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        name, attempt = f"{root}/part-{part:05d}", f"{root}/_attempt-{context.taskAttemptId()}-{part:05d}"
+        name = f"{root}/part-{part:05d}-{attempt}"
         at, row, offsets = 0, 0, [np.zeros(1, dtype="<i8")]
-        with fs.open_output_stream(attempt + ".bin") as out:
+        with fs.open_output_stream(name + ".bin") as out:
             for batch in slices(batches, 1):
                 lists = encode(batch.column(1).to_pylist(), path)
                 n = np.fromiter((len(x) + 1 for x in lists), np.int64, len(lists))
@@ -95,30 +95,29 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
                     raise ValueError(f"id {int(ids.max())} is outside a vocabulary of {vocabulary}")
                 out.write(ids.astype(dtype).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(np.arange(row, row + len(n)), pa.int64()), pa.array(n), pa.array(at + stops - n)],
-                    names=["doc_id", "part", "part_row", "n_tokens", "local"],
+                    [batch.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(np.full(len(n), attempt), pa.int64()), pa.array(np.arange(row, row + len(n)), pa.int64()), pa.array(n), pa.array(at + stops - n)],
+                    names=["doc_id", "part", "attempt", "part_row", "n_tokens", "local"],
                 )
                 offsets.append((at + stops).astype("<i8"))
                 at, row = at + int(n.sum()), row + len(n)
-        with fs.open_output_stream(attempt + ".idx") as out:
+        with fs.open_output_stream(name + ".idx") as out:
             out.write(np.concatenate(offsets).tobytes())
-        for kind in (".idx", ".bin"):
-            fs.move(attempt + kind, name + kind)
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(written, "doc_id bigint, part int, part_row bigint, n_tokens bigint, local bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(written, "doc_id bigint, part int, attempt bigint, part_row bigint, n_tokens bigint, local bigint")
     rows = cut(rows)  # the files are written once, here
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))  # a row for each partition
+    totals = rows.groupBy("part", "attempt").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))  # a row for each partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut(totals.select("part", "n", "docs", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    name = F.format_string("part-%05d-%d", "part", "attempt")
+    bases = cut(totals.select("part", name.alias("name"), "n", "docs", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/bases.json") as out:
         parts = [r.asDict() for r in bases.orderBy("part").toLocalIterator()]
         out.write(json.dumps({"dtype": dtype.str, "end": end, "parts": parts}).encode())
     start = F.col("base") + F.col("local")
-    return rows.join(bases.select("part", "base"), "part").select(
+    return rows.join(bases.select("part", "name", "base"), "part").select(
         "doc_id", "part", "part_row", "n_tokens", start.alias("start"), (start + F.col("n_tokens")).alias("stop"),
-        F.concat(F.lit(f"{folder}/part-"), F.lpad(F.col("part").cast("string"), 5, "0"), F.lit(".bin")).alias("file"),
+        F.concat(F.lit(f"{folder}/"), "name", F.lit(".bin")).alias("file"),
     )
 
 
@@ -135,7 +134,7 @@ class TokenFiles:
         self.total = sum(p["n"] for p in self.parts)
 
     def _map(self, i: int, kind: str, dtype: np.dtype) -> np.memmap:
-        return np.memmap(f"{self.folder}/part-{self.parts[i]['part']:05d}.{kind}", dtype=dtype, mode="r")
+        return np.memmap(f"{self.folder}/{self.parts[i]['name']}.{kind}", dtype=dtype, mode="r")
 
     def __len__(self) -> int:
         return int(self.first[-1])
