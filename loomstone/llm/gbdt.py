@@ -169,7 +169,7 @@ def labelled_stats(docs: DataFrame, labels: DataFrame, max_train: int, seed: int
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
     )
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -201,7 +201,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
             p = model.value.probability(_stats_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id bigint, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scored, "doc_id bigint, score double")
 
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
