@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import random
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
 from loomstone.functions.hashing import md5_31
+from loomstone.operators.lineage import cut
 
 PERMUTATIONS, BANDS, GRAM, SEED = 64, 8, 5, 42
 MERSENNE61, MERSENNE31 = (1 << 61) - 1, (1 << 31) - 1
@@ -106,28 +106,21 @@ def exact_band_keys(docs: DataFrame, bands: int = BANDS, n: int = PERMUTATIONS,
     return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(keys("text")).alias("band", "key"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomstone-"))
-    return df.checkpoint()
-
-
 def greedy_keep(bands: DataFrame, order: str = "doc_id", max_rounds: int = 50) -> DataFrame:
     """The `order` values that the first-come filter keeps, from (order, band, key) rows of all documents.
 
     A round keeps the undecided documents that come first in all their buckets and drops those that share a bucket with
     one of them. Documents alone in all their buckets are decided in the first round; raises if max_rounds aren't
     enough, which takes a chain of that length."""
-    left = _cut(bands.select(F.col(order).alias("d"), "band", "key").distinct())
+    left = cut(bands.select(F.col(order).alias("d"), "band", "key").distinct())
     kept = None
     for _ in range(max_rounds):
         first = left.groupBy("band", "key").agg(F.min("d").alias("m"))
         won = left.join(first, ["band", "key"]).groupBy("d").agg(F.every(F.col("d") == F.col("m")).alias("w")).where("w").select("d")
-        won = _cut(won)
+        won = cut(won)
         kept = won if kept is None else kept.unionByName(won)
         gone = left.join(left.join(won, "d", "left_semi").select("band", "key").distinct(), ["band", "key"], "left_semi").select("d").distinct()
-        left = _cut(left.join(gone, "d", "left_anti"))
+        left = cut(left.join(gone, "d", "left_anti"))
         if left.isEmpty():
             return kept.select(F.col("d").alias(order))
     raise RuntimeError(f"undecided documents are left after {max_rounds} rounds")

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomstone.operators.lineage import cut
 from loomstone.operators.prefix import global_running_sum
 
 MIX_SCHEMA = "source string, source_idx int, ratio double, threshold double, repeat int, korean boolean, dedup boolean, instruction boolean"
@@ -72,9 +73,9 @@ def unique_within_budget(docs: DataFrame, bands: DataFrame, target: int, max_rou
     that aren't subject to the filter. Starting with all documents read, the filter decides which are kept, the kept
     tokens decide which are read, until that doesn't change; every round settles at least one more document in order.
     Returns the kept rows of docs; raises if max_rounds aren't enough."""
-    from loomstone.operators.minhash import _cut, greedy_keep
+    from loomstone.operators.minhash import greedy_keep
 
-    docs, bands = _cut(docs), _cut(bands)
+    docs, bands = cut(docs), cut(bands)
     digest = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("ord"))).first())
     earlier = Window.partitionBy("source").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     free = docs.select("ord").join(bands, "ord", "left_anti")
@@ -83,7 +84,7 @@ def unique_within_budget(docs: DataFrame, bands: DataFrame, target: int, max_rou
         kept = greedy_keep(bands.join(read, "ord", "left_semi"), "ord").unionByName(free.join(read, "ord", "left_semi"))
         marked = docs.join(kept.withColumn("kept", F.lit(True)), "ord", "left")
         spent = F.coalesce(F.sum(F.when(F.col("kept"), F.col("n_tok"))).over(earlier), F.lit(0))
-        marked = _cut(marked.withColumn("spent", spent).where(F.col("spent") < F.floor(F.lit(target) * F.col("ratio"))))
+        marked = cut(marked.withColumn("spent", spent).where(F.col("spent") < F.floor(F.lit(target) * F.col("ratio"))))
         read = marked.select("ord")
         if (after := digest(read)) == before:
             return marked.where("kept").select(docs.columns)

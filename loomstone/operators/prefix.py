@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.operators.lineage import cut
+
 
 def global_running_sum(df: DataFrame, order: list[str | Column], value: str, out: str, partitions: int | None = None, inclusive: bool = False) -> DataFrame:
     """df with `out`: the sum of `value` over all earlier rows in the given order (and this one, if inclusive). The
-    order has to be unique. Partition numbers come from range bounds that Spark samples once and keeps for the exchange,
-    and the exchange is written once and reused for the totals."""
+    order has to be unique. Range bounds are sampled, so a second evaluation could draw others: the ranged rows are
+    written once with their partition's number, and both the totals and the rows are read from there. Keep df narrow."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.sum(value).alias("_total"))
     base = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     rows = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)

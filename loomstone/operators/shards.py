@@ -48,4 +48,4 @@ def gather(starts: DataFrame, chunks: DataFrame, chunk_tokens: int, length: int)
 
 
 def uint16_file_names(split: Column, shard: Column) -> Column:
-    return F.concat(split, F.lit("_"), F.lpad(shard.cast("string"), 6, "0"), F.lit(".bin"))
+    return F.format_string("%s_%06d.bin", split, shard)

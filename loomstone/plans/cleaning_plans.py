@@ -53,14 +53,14 @@ def training_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(strlen(text) AS INTEGER) AS bytes,
     CAST(length(text) - length({tx.DUCK_SOLID}) AS INTEGER) AS spaces, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS INTEGER) AS digits,
-    trim(substr(text, 1, 20)) AS head, replace(substr(text, 1, 20), 'the', '<end>') AS marked FROM documents"""
+    md5(trim(text)) AS trimmed, md5(replace(text, 'the', '<end>')) AS marked FROM documents"""
 )
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code points, UTF-8 bytes, white space, digits, trimming and replacement."""
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
         F.regexp_count("text", F.lit(rf"(?U)[{tx.SPACE}]")).alias("spaces"), F.regexp_count("text", F.lit("[0-9]")).alias("digits"),
-        F.trim(F.substring("text", 1, 20)).alias("head"), F.replace(F.substring("text", 1, 20), F.lit("the"), F.lit("<end>")).alias("marked"),
+        F.md5(F.trim("text")).alias("trimmed"), F.md5(F.replace("text", F.lit("the"), F.lit("<end>"))).alias("marked"),
     )
 
 
