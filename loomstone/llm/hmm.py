@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,14 +191,17 @@ def expect(encoded: DataFrame, model: Hmm, stretch: int) -> Counts:
             total.collect(sent.value, [r[s : s + stretch] for r in rows for s in range(0, len(r), stretch)])
         head = np.concatenate([total.start, total.move.ravel(), [total.log_likelihood]])
         values = [head.tobytes(), *(row.tobytes() for row in total.emit)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(values, pa.binary())], names=["block", "counts"])
+        nest = np.full(len(values), TaskContext.get().partitionId() // 64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array(nest, pa.int32()), pa.array(values, pa.binary())], names=["block", "nest", "counts"])
 
     def added(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(b, dtype=np.float64) for b in table["counts"].to_pylist())
         return pa.table({"block": table["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = encoded.select("symbols").mapInArrow(counted, "block int, counts binary")
-    blocks = {r["block"]: np.frombuffer(r["counts"]) for r in parts.groupBy("block").applyInArrow(added, "block int, counts binary").collect()}
+    schema = "block int, counts binary"
+    parts = encoded.select("symbols").mapInArrow(counted, "block int, nest int, counts binary")
+    nests = parts.groupBy("block", "nest").applyInArrow(added, schema)  # 64 partitions' counts at a time
+    blocks = {r["block"]: np.frombuffer(r["counts"]) for r in nests.groupBy("block").applyInArrow(added, schema).collect()}
     out = Counts(states, symbols)
     if blocks:
         out.start, out.log_likelihood = blocks[0][:states].copy(), float(blocks[0][-1])
