@@ -23,8 +23,8 @@ def duck_fnv1a(word: str, buckets: int = 1 << 18) -> str:
         lambda h, b: (xor(h, b) * 16777619) & 4294967295::BIGINT) % {buckets})"""
 
 
-def md5_31(value: str) -> Column:
-    """The first 31 bits' worth of an MD5 (7 hex digits and 3 bits are enough for LONG arithmetic): 28 bits as LONG."""
+def md5_28(value: str) -> Column:
+    """The first 28 bits (7 hex digits) of the MD5 as LONG: products with 31-bit factors can't overflow."""
     return F.conv(F.substring(F.md5(value), 1, 7), 16, 10).cast("bigint")
 
 

@@ -1,7 +1,7 @@
 """MinHash banding and the greedy first-come duplicate filter.
 
 Two signatures: `native_signatures` uses 28-bit hashes in LONG arithmetic and stays in the JVM (comparable with SQL);
-`exact_band_keys` uses BLAKE2b and permutations modulo 2^61 - 1, vectorised with 32-bit limbs in an Arrow UDF.
+`exact_band_keys` uses BLAKE2b and permutations modulo 2^61 - 1, vectorised with 31-bit limbs in an Arrow UDF.
 
 The filter keeps a document iff no earlier kept document shares a (band, key): dropped documents don't register their
 keys, so of a chain A~B~C both A and C stay. As a set operation that is the lexicographically first maximal
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.functions.hashing import md5_31
+from loomstone.functions.hashing import md5_28
 from loomstone.operators.lineage import cut
 
 PERMUTATIONS, BANDS, GRAM, SEED = 64, 8, 5, 42
@@ -38,7 +38,7 @@ def native_signatures(docs: DataFrame, n: int = PERMUTATIONS) -> DataFrame:
     """(doc_id, h0..hn-1): minima of (a * h + b) mod 2^31 - 1 over the 28-bit hashes of the text's distinct 5-grams;
     zeros for texts without a gram, which so are duplicates of each other. Grams are hashed once; the minima are
     partial aggregates before the shuffle."""
-    grams = docs.select("doc_id", F.explode_outer(tx.shingles("text", GRAM)).alias("g")).select("doc_id", md5_31("g").alias("h"))
+    grams = docs.select("doc_id", F.explode_outer(tx.shingles("text", GRAM)).alias("g")).select("doc_id", md5_28("g").alias("h"))
     minima = [F.coalesce(F.min((F.lit(a) * F.col("h") + F.lit(b)) % MERSENNE31), F.lit(0)).alias(f"h{i}") for i, (a, b) in enumerate(permutations(n, MERSENNE31))]
     return grams.groupBy("doc_id").agg(*minima)
 
@@ -50,24 +50,14 @@ def native_bands(signatures: DataFrame, bands: int = BANDS, n: int = PERMUTATION
     return signatures.select("doc_id", F.explode(F.array(*keys)).alias("k")).select("doc_id", "k.band", "k.key")
 
 
-def _mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b mod 2^61 - 1 for uint64 arrays below the modulus; b is split at bit 30 so that no product overflows."""
-    p, low = np.uint64(MERSENNE61), np.uint64((1 << 30) - 1)
-
-    def fold(x: np.ndarray) -> np.ndarray:
-        x = (x & p) + (x >> np.uint64(61))
-        return np.where(x >= p, x - p, x)
-
-    def times_small(x: np.ndarray, s: np.ndarray) -> np.ndarray:  # s < 2^31
-        hi, lo = x >> np.uint64(31), x & np.uint64((1 << 31) - 1)  # hi < 2^30
-        hs = fold(hi * s)  # < 2^61
-        up = fold(((hs & low) << np.uint64(31)) + (hs >> np.uint64(30)))
-        return fold(up + fold(lo * s))
-
-    b_hi, b_lo = b >> np.uint64(30), b & low  # b_hi < 2^31
-    t = times_small(a, b_hi)
-    t = fold(((t & np.uint64((1 << 31) - 1)) << np.uint64(30)) + (t >> np.uint64(31)))
-    return fold(t + times_small(a, b_lo))
+def affine61(a: int, b: int, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """(a * h + b) mod 2^61 - 1 for h = high * 2^31 + low, both uint64 and h below the modulus. With a split the same way
+    the product is high parts * 2^62, mixed parts * 2^31 and low parts; 2^61 counts as 1, so no sum passes 2^64."""
+    p, a_high, a_low = np.uint64(MERSENNE61), np.uint64(a >> 31), np.uint64(a & MERSENNE31)
+    mixed = a_high * low + a_low * high
+    x = ((a_high * high) << np.uint64(1)) + (mixed >> np.uint64(30)) + ((mixed & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a_low * low + np.uint64(b)
+    x = (x & p) + (x >> np.uint64(61))
+    return np.where(x >= p, x - p, x)
 
 
 def short_digest(data: bytes) -> bytes:
@@ -82,11 +72,8 @@ def exact_signature(text: str, perms: list[tuple[int, int]]) -> list[int]:
         return [0] * len(perms)
     raw = b"".join(short_digest(g.encode("utf-8", "surrogatepass")) for g in grams)
     h = np.frombuffer(raw, dtype="<u8") % np.uint64(MERSENNE61)
-    out = []
-    for a, b in perms:
-        x = _mul61(np.full_like(h, a), h) + np.uint64(b)
-        out.append(int(np.where(x >= MERSENNE61, x - np.uint64(MERSENNE61), x).min()))
-    return out
+    high, low = h >> np.uint64(31), h & np.uint64(MERSENNE31)
+    return [int(affine61(a, b, high, low).min()) for a, b in perms]
 
 
 def exact_band_keys(docs: DataFrame, bands: int = BANDS, n: int = PERMUTATIONS, prefix: int | None = None) -> DataFrame:

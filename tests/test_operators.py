@@ -168,10 +168,14 @@ def test_exact_signatures_and_filter_on_documents(spark, data):
     assert mh.exact_band_keys(docs, prefix=2000).count() == bands.count()
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.integers(0, 2**61 - 2), st.integers(0, 2**61 - 2))
-def test_modular_product(a, b):
-    assert int(mh._mul61(np.array([a], np.uint64), np.array([b], np.uint64))[0]) == a * b % (2**61 - 1)
+EDGES = st.sampled_from([0, 1, 2**30, 2**31 - 1, 2**31, 2**60, 2**61 - 2]) | st.integers(0, 2**61 - 2)
+
+
+@settings(max_examples=500, deadline=None)
+@given(EDGES, EDGES, EDGES)
+def test_modular_product(a, b, h):
+    got = mh.affine61(a, b, np.array([h >> 31], np.uint64), np.array([h % 2**31], np.uint64))
+    assert int(got[0]) == (a * h + b) % (2**61 - 1)
 
 
 def test_mixture_equals_a_loop_of_turns(spark):
