@@ -164,10 +164,14 @@ def _stats_of(batch: pa.RecordBatch) -> np.ndarray:
 def labelled_stats(docs: DataFrame, labels: DataFrame, max_train: int, seed: int) -> DataFrame:
     """(doc_id, y, stats) of at most max_train labelled documents that have a text, smallest hash of the id first.
     Several labels of a document are averaged and rounded half up; null labels and ids don't count."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    rows = known.count()
+    share = (max_train + 10 * max_train**0.5 + 10) / max(1, rows)
+    if share < 1 and (low := known.where(F.col("h") < int((share - 0.5) * 2.0**64))).select("doc_id").distinct().count() >= max_train:
+        known = low  # the same smallest hashes, without a sorted limit's max_train rows from every partition
     chosen = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-        .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
+        known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"), F.first("h").alias("h"))
+        .orderBy("h", "doc_id").limit(max_train).select("doc_id", "y")
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").isNotNull())
 

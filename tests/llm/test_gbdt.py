@@ -133,3 +133,6 @@ def test_training_sample_is_bounded_and_stable(spark):
     d, lab = frames(spark, [(i, good(i), "", 0, "") for i in range(50)], [(i, i % 2, "") for i in range(50)])
     ids = lambda n: {r["doc_id"] for r in gbdt.labelled_stats(d, lab, n, 17).collect()}
     assert len(ids(10)) == 10 and ids(10) < ids(20)
+    d, lab = frames(spark, [(i, "text", "", 0, "") for i in range(3000)], [(i // 2, i % 2, "") for i in range(6000)])
+    hashes = {r["doc_id"]: r["h"] for r in lab.select("doc_id", gbdt.F.xxhash64(gbdt.F.lit(17), "doc_id").alias("h")).collect()}
+    assert ids(200) == set(sorted(hashes, key=hashes.get)[:200])  # by way of the bound on the hash
