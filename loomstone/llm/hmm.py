@@ -1,12 +1,15 @@
 """Language-model scoring with a hidden Markov model over words.
 
 Vocabulary: all words of all documents are counted; the `vocabulary` most frequent are symbols of their own, the others
-share `buckets` hashed symbols. Training: Baum-Welch. In each round every partition runs the scaled forward-backward
+share `buckets` hashed symbols. A bucket's probability in a state is spread over its words by their counts in the corpus,
+so every word has an emission of its own: P(word | state) = P(bucket | state) * n(word) / n(bucket). The last factor is
+the same in all states, so it takes no part in training and adds ln(n(word) / n(bucket)) to a text's likelihood for each
+such word; it comes from the table of all counts, joined by word. Training: Baum-Welch. In each round every partition runs the scaled forward-backward
 recursion over all its words and sends expected counts (starts, transitions, emissions); they are added up by block
 across partitions and normalised on the driver, where the model's size doesn't depend on the corpus. For training,
 texts are cut into consecutive stretches of `stretch` words; every word counts, only the transition from one stretch to
 the next is left out. Scoring: the scaled forward recursion over the whole text gives the exact log likelihood of its
-symbols. Sequences are sorted by length and advance together, so each step is one matrix product for many texts. Of a
+words. Sequences are sorted by length and advance together, so each step is one matrix product for many texts. Of a
 text longer than `block` words, the blocks advance in parallel from every possible previous state and are then chained,
 which gives the same likelihood as the plain recursion.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +48,34 @@ class Words:
     def size(self) -> int:
         return len(self.known) + self.buckets
 
+    def bucket(self, word: str) -> int:
+        return zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.buckets
+
     def symbols(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
-        get, n, b = self.known.get, len(self.known), self.buckets
+        get, n = self.known.get, len(self.known)
         found = [get(w, -1) for w in words]
         out = np.array(found, dtype=np.int64)
         for i in np.flatnonzero(out < 0).tolist():
-            out[i] = n + zlib.crc32(words[i].encode("utf-8", "surrogatepass")) % b
+            out[i] = n + self.bucket(words[i])
         return out.astype(np.uint16)
 
+    def numbered(self, text: str | None, numbers: dict[str, int], of: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """symbols(), and of each word in a bucket its number in `numbers`. New words get the next numbers; `of` has
+        their symbols."""
+        words = (text or "").split()
+        out = np.array([self.known.get(w, -1) for w in words], dtype=np.int64)
+        at = np.flatnonzero(out < 0)
+        rare = np.empty(len(at), dtype=np.uint32)
+        for k, i in enumerate(at.tolist()):
+            w = words[i]
+            if (number := numbers.get(w)) is None:
+                number = numbers[w] = len(of)
+                of.append(len(self.known) + self.bucket(w))
+            rare[k] = number
+            out[i] = of[number]
+        return out.astype(np.uint16), rare
+
 
 def word_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
     """(word, n) over all documents. A task adds up words in a table of at most `held` and sends it when full."""
@@ -91,9 +114,14 @@ def top_words(counts: DataFrame, vocabulary: int) -> list[tuple[str, int]]:
 
 def learn_words(docs: DataFrame, vocabulary: int, buckets: int) -> tuple[Words, np.ndarray]:
     """The most frequent words and their counts; the counts of all words are written once to the shared folder."""
+    return frequent(cut(word_counts(docs)), vocabulary, buckets)
+
+
+def frequent(counts: DataFrame, vocabulary: int, buckets: int) -> tuple[Words, np.ndarray]:
+    """The most frequent words of (word, n) and their counts."""
     if vocabulary + buckets > 1 << 16:
         raise ValueError("symbols must fit 16 bits")
-    top = top_words(cut(word_counts(docs)), vocabulary)
+    top = top_words(counts, vocabulary)
     return Words({w: i for i, (w, _) in enumerate(top)}, buckets), np.array([n for _, n in top], dtype=np.float64)
 
 
@@ -112,6 +140,57 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encoded, "doc_id bigint, n_words bigint, symbols binary")
 
 
+def bucket_shares(counts: DataFrame, words: Words) -> DataFrame:
+    """(word, share) for every word of (word, n) that is in a bucket: ln(n(word) / n(bucket))."""
+    model = counts.sparkSession.sparkContext.broadcast(words)
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, model.value.bucket(w), n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in model.value.known]
+            if rows:
+                w, b, n = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(b, pa.int32()), pa.array(n, pa.int64())], names=["word", "bucket", "n"])
+
+    rare = counts.select("word", "n").mapInArrow(bucketed, "word string, bucket int, n bigint")
+    total = [1] * words.buckets
+    for r in rare.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each bucket
+        total[r["bucket"]] = r["n"]
+    of_bucket = F.element_at(F.lit(total).cast("array<double>"), F.col("bucket") + 1)
+    return rare.select("word", F.log(F.col("n").cast("double") / of_bucket).alias("share"))
+
+
+def encode_words(docs: DataFrame, words: Words, chunk_bytes: int = 32 << 20) -> DataFrame:
+    """encode() with what the shares of the words in buckets need: (doc_id, n_words, symbols, chunk, base, fresh, rare).
+
+    Texts that follow each other in a partition are a chunk, which numbers its words in buckets; `rare` has their numbers
+    as packed 32-bit integers, `fresh` the words that come first in this text, numbered from `base`."""
+    model = docs.sparkSession.sparkContext.broadcast(words)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        numbers: dict[str, int] = {}
+        of: list[int] = []
+        for batch in slices(batches, 1):
+            rows, base, fresh = [], [], []
+            for text in batch.column(1).to_pylist():
+                if held > chunk_bytes:
+                    chunk, held, numbers, of = chunk + 1, 0, {}, []
+                held += len(text or "")
+                base.append(len(of))
+                rows.append((chunk, *model.value.numbered(text, numbers, of)))
+                fresh.append(list(islice(reversed(numbers), len(of) - base[-1]))[::-1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array((len(s) for _, s, _ in rows), pa.int64()), pa.array((s.tobytes() for _, s, _ in rows), pa.binary()),
+                    pa.array((c for c, _, _ in rows), pa.int64()), pa.array(base, pa.int64()), pa.array(fresh, pa.list_(pa.string())), pa.array((r.tobytes() for _, _, r in rows), pa.binary()),
+                ],
+                names=["doc_id", "n_words", "symbols", "chunk", "base", "fresh", "rare"],
+            )
+
+    schema = "doc_id bigint, n_words bigint, symbols binary, chunk bigint, base bigint, fresh array<string>, rare binary"
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encoded, schema)
+
+
 def initial(words: Words, counts: np.ndarray, total: float, states: int, seed: int) -> Hmm:
     """Each state emits by the corpus's word frequencies, disturbed at random; states prefer to stay."""
     rng = np.random.default_rng(seed)
@@ -248,21 +327,49 @@ def log_likelihoods(model: Hmm, sequences: list[np.ndarray], rows: int = 512, bl
     return out
 
 
-def score(encoded: DataFrame, model: Hmm, block: int = 4096) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, per_word, perplexity) of every row; per_word and perplexity are null without
-    words."""
+def _scored(encoded: DataFrame, model: Hmm, block: int, more: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, n_words, log_likelihood) of every row's symbols, and the columns `more` with their types."""
     sent = encoded.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in _arrays(batches, 2, 1 << 22):
             out = log_likelihoods(sent.value, rows, block=block)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.float64()), *batch.columns[3:]], names=["doc_id", "n_words", "log_likelihood", *more]
+            )
+
+    more = more or {}
+    schema = ", ".join(["doc_id bigint, n_words bigint, log_likelihood double", *(f"{c} {kind}" for c, kind in more.items())])
+    return encoded.select("doc_id", "n_words", "symbols", *more).mapInArrow(scored, schema)
+
 
-    rows = encoded.select("doc_id", "n_words", "symbols").mapInArrow(scored, "doc_id bigint, n_words bigint, log_likelihood double")
+def _with_means(rows: DataFrame) -> DataFrame:
     mean = F.try_divide(F.col("log_likelihood"), F.col("n_words"))
     return rows.withColumn("per_word", mean).withColumn("perplexity", F.exp(-mean))
 
 
+def score(encoded: DataFrame, model: Hmm, block: int = 4096) -> DataFrame:
+    """(doc_id, n_words, log_likelihood, per_word, perplexity) of every row's symbols; per_word and perplexity are null
+    without words."""
+    return _with_means(_scored(encoded, model, block))
+
+
+def score_words(encoded: DataFrame, model: Hmm, shares: DataFrame, block: int = 4096) -> DataFrame:
+    """score() of the words themselves for rows of encode_words(): with the shares of the words in buckets."""
+    firsts = encoded.select("chunk", "base", F.posexplode("fresh").alias("k", "word"))
+    of_chunk = firsts.join(shares, "word").select("chunk", (F.col("base") + F.col("k")).alias("number"), "share")
+
+    def added(rows: pa.Table, of: pa.Table) -> pa.Table:
+        share = np.zeros(of.num_rows)
+        share[of["number"].to_numpy()] = of["share"].to_numpy()
+        more = [share[np.frombuffer(b, dtype=np.uint32)].sum() for b in rows["rare"].to_pylist()]
+        return pa.table({"doc_id": rows["doc_id"], "n_words": rows["n_words"], "log_likelihood": pa.array(rows["log_likelihood"].to_numpy() + np.array(more), pa.float64())})
+
+    rows = _scored(encoded, model, block, {"chunk": "bigint", "rare": "binary"})
+    whole = rows.groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInArrow(added, "doc_id bigint, n_words bigint, log_likelihood double")
+    return _with_means(whole)
+
+
 def train(encoded: DataFrame, words: Words, counts: np.ndarray, states: int, rounds: int, stretch: int, seed: int) -> tuple[Hmm, list[float]]:
     """The model after `rounds` of Baum-Welch and the log likelihood before each; no round lowers it but for the prior."""
     total = float(encoded.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
@@ -281,7 +388,8 @@ def score_documents(
 
     A null or empty text has no words and a log likelihood of 0; null ids and repeated rows are scored each; ties in the
     vocabulary are broken by the word; an empty table gives no rows. Only doc_id and text are read."""
-    words, counts = learn_words(docs, vocabulary, buckets)
-    encoded = cut(encode(docs, words))
+    every = cut(word_counts(docs))
+    words, counts = frequent(every, vocabulary, buckets)
+    encoded = cut(encode_words(docs, words))
     model, _ = train(encoded, words, counts, states, rounds, stretch, seed)
-    return score(encoded, model)
+    return score_words(encoded, model, bucket_shares(every, words))

@@ -119,3 +119,41 @@ def test_edge_rows(spark):
     assert all(r["n_words"] == 0 and r["log_likelihood"] == 0 and r["per_word"] is None and r["perplexity"] is None for r in none)
     assert len({r["log_likelihood"] for r in got if r["doc_id"] == 5}) == 1 and all(math.isfinite(r["log_likelihood"]) for r in got)
     assert hmm.score_documents(df.limit(0)).count() == 0
+
+
+def test_words_in_buckets_have_emissions_of_their_own(spark):
+    """The whole score against one process with an emission for every word of the corpus: they add up to 1 in a state."""
+    rows, df = docs(spark)
+    rows = [*rows, *((1000 + i, "beta3 " * i + f"rare{i % 7} alpha1 " * (i % 5) + f"once{i}", i, "x") for i in range(30))]
+    df = spark.createDataFrame(rows, df.schema)
+    got = {r["doc_id"]: r for r in hmm.score_documents(df.repartition(3), states=3, vocabulary=40, buckets=4, rounds=3, seed=2).collect()}
+    words, counts = hmm.learn_words(df, 40, 4)
+    model, _ = hmm.train(hmm.encode(df, words), words, counts, states=3, rounds=3, stretch=512, seed=2)
+    tally = {}
+    for _, t, *_ in rows:
+        for w in t.split():
+            tally[w] = tally.get(w, 0) + 1
+    number = {w: i for i, w in enumerate(tally)}
+    symbol = {w: int(words.symbols(w)[0]) for w in tally}
+    in_symbol = {s: sum(n for w, n in tally.items() if symbol[w] == s) for s in set(symbol.values())}
+    emit = np.stack([model.emit[:, symbol[w]] * n / in_symbol[symbol[w]] for w, n in tally.items()], axis=1)
+    assert len(tally) > 80 and np.allclose(emit.sum(axis=1), 1)
+    want = hmm.log_likelihoods(hmm.Hmm(model.start, model.move, emit), [np.array([number[w] for w in t.split()], dtype=np.uint16) for _, t, *_ in rows])
+    assert np.allclose([got[r[0]]["log_likelihood"] for r in rows], want)
+    assert np.allclose([got[r[0]]["per_word"] for r in rows], want / [len(r[1].split()) for r in rows])
+
+
+def test_chunks_do_not_change_symbols_or_words(spark):
+    rows, df = docs(spark)
+    words, _ = hmm.learn_words(df, 20, 4)
+    for size in (0, 500, 1 << 20):
+        chunks = {}
+        out = hmm.encode_words(df.coalesce(1), words, chunk_bytes=size).collect()
+        for r in out:
+            mine = chunks.setdefault(r["chunk"], [])
+            assert r["base"] == len(mine)
+            mine += r["fresh"]
+        for r, (_, text, *_) in zip(out, rows):
+            assert np.array_equal(np.frombuffer(r["symbols"], np.uint16), words.symbols(text))
+            assert [chunks[r["chunk"]][i] for i in np.frombuffer(r["rare"], np.uint32)] == [w for w in text.split() if w not in words.known]
+        assert (len(chunks) == 1) == (size > 1000)
