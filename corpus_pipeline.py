@@ -35,8 +35,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens: (pack_group, bin, n_tokens, pieces)."""
-    return packing.pack_documents(docs)
+    """Sequences of 4096 tokens in the training order of docs' rows: (pack_group, bin, n_tokens, pieces)."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("packed", packed)]

@@ -7,16 +7,19 @@ diverse gaps, for which later pieces exist.
 
 A document longer than a sequence is cut: whole sequences of it are bins of their own, the rest is packed. Documents are
 spread over independent packing groups by a hash of their id, each of about `group_docs` documents, which bounds a task
-whatever the size of the corpus; within a group they come in the order of that hash.
+whatever the size of the corpus; within a group they come in the order of that hash. Where the order of the rows is the
+training order, groups are contiguous ranges of it instead, and bins are numbered in the order of their first pieces.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import cut
@@ -67,6 +70,19 @@ def pack_group(doc_ids: list[int | None], lengths: list[int], capacity: int) ->
     return full + [[pieces[i] for i in b] for b in packer.bins]
 
 
+def _bin_rows(group: int, bins: list[list[tuple[int | None, int, int]]]) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(bins), 10_000):
+        part = bins[s : s + 10_000]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([group] * len(part), pa.int64()), pa.array(range(s, s + len(part)), pa.int64()),
+                pa.array([sum(p[2] for p in b) for b in part], pa.int64()),
+                pa.array([[{"doc_id": d, "start": a, "length": n} for d, a, n in b] for b in part], PIECES),
+            ],
+            names=["pack_group", "bin", "n_tokens", "pieces"],
+        )
+
+
 def pack(sizes: DataFrame, capacity: int = 4096, group_docs: int = 8192, seed: int = 7) -> DataFrame:
     """Packs (doc_id, n_tokens) rows: one row for each bin with its group, number within the group, tokens and pieces.
 
@@ -79,17 +95,7 @@ def pack(sizes: DataFrame, capacity: int = 4096, group_docs: int = 8192, seed: i
 
     def packed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by([("h", "ascending"), ("doc_id", "ascending"), ("n_tokens", "ascending")])
-        bins = pack_group(table["doc_id"].to_pylist(), table["n_tokens"].to_pylist(), capacity)
-        for s in range(0, len(bins), 10_000):
-            part = bins[s : s + 10_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([key[0].as_py()] * len(part), pa.int64()), pa.array(range(s, s + len(part)), pa.int64()),
-                    pa.array([sum(p[2] for p in b) for b in part], pa.int64()),
-                    pa.array([[{"doc_id": d, "start": a, "length": n} for d, a, n in b] for b in part], PIECES),
-                ],
-                names=["pack_group", "bin", "n_tokens", "pieces"],
-            )
+        yield from _bin_rows(key[0].as_py(), pack_group(table["doc_id"].to_pylist(), table["n_tokens"].to_pylist(), capacity))
 
     def whole(key: tuple, table: pa.Table) -> pa.Table:
         made = list(packed(key, iter(table.to_batches())))
@@ -98,6 +104,58 @@ def pack(sizes: DataFrame, capacity: int = 4096, group_docs: int = 8192, seed: i
     return hashed.groupBy("g").applyInArrow(whole, SCHEMA)
 
 
+def row_order(docs: DataFrame) -> dict[str, Column]:
+    """part and row, in which docs' rows lie: file and row in it where docs is read from Parquet files, whose partitions
+    follow the files' sizes rather than their order; elsewhere the partition and the row in it."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+        return {"part": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")}
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return {"part": F.format_string("part-%d", F.shiftright(at, 33)), "row": at.bitwiseAND(F.lit((1 << 33) - 1))}
+
+
+def _written(part: str) -> tuple[int, str]:
+    """Spark's files in the order of the partitions that wrote them."""
+    name = part.rpartition("/")[2]
+    return int(m[1]) if (m := re.match(r"part-(\d+)", name)) else -1, name
+
+
+def pack_in_order(docs: DataFrame, capacity: int = 4096, group_docs: int = 8192, path: str | None = None) -> DataFrame:
+    """pack_documents() in the order of docs' rows: pack_group g holds the documents of one contiguous range of at most
+    `group_docs`, ranges ascend with g, and the rows come by group and bin.
+
+    Every row is a document of its own, so repeated ids and null ids keep their places; an empty table gives no bins."""
+    from loomstone.llm.tokens import count_tokens
+
+    rows = cut(count_tokens(docs, path, row_order(docs)))
+    parts = sorted(((*_written(r["part"]), r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()))  # a row for each file
+    bases, total = [], 0
+    for *_, part, n in parts:
+        bases.append((part, total))
+        total += n
+    groups = max(1, -(-total // group_docs))
+    placed = (
+        rows.join(docs.sparkSession.createDataFrame(bases, "part string, base bigint"), "part")
+        .withColumn("rank", F.col("base") + F.col("row"))
+        .select(F.floor(F.col("rank") * F.lit(groups) / F.lit(max(1, total))).cast("int").alias("g"), "rank", "doc_id", "n_tokens")
+    )
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got).sort_by("rank")
+        group = table["g"].to_numpy()
+        for g in np.unique(group).tolist():
+            own = table.filter(pa.array(group == g))
+            ids = own["doc_id"].to_pylist()
+            bins = sorted(pack_group(list(range(len(ids))), own["n_tokens"].to_pylist(), capacity), key=lambda b: b[0][:2])
+            yield from _bin_rows(g, [[(ids[i], start, length) for i, start, length in b] for b in bins])
+
+    return placed.repartitionById(groups, F.col("g")).mapInArrow(packed, SCHEMA)
+
+
 def pack_documents(docs: DataFrame, capacity: int = 4096, group_docs: int = 8192, path: str | None = None) -> DataFrame:
     """pack() of the token counts of whole texts, each with its end-of-document token; a null text is that token."""
     from loomstone.llm.tokens import count_tokens

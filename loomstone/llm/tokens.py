@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import cut, shared_dir, slices
@@ -52,16 +52,20 @@ def encode(texts: list[str | None], path: str) -> list[list[int]]:
     return [tok.encode_ordinary(t) if t else [] for t in texts]
 
 
-def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) for every row, the end id counted: 1 for a null or empty text."""
+def count_tokens(docs: DataFrame, path: str | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, n_tokens) for every row, the end id counted: 1 for a null or empty text; and the columns `more`."""
+    more = more or {}
+    names = ["doc_id", "n_tokens", *more]
     path = path or vocabulary_path()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             n = [len(ids) + 1 for ids in encode(batch.column(1).to_pylist(), path)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(counted, "doc_id bigint, n_tokens bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", *(c.alias(k) for k, c in more.items()))
+    kinds = "".join(f", {k} {kind}" for k, kind in rows.dtypes[2:])
+    return rows.mapInArrow(counted, "doc_id bigint, n_tokens bigint" + kinds)
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None = None, end: int = END, vocabulary: int = 50_257) -> DataFrame:

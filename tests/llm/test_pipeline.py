@@ -117,3 +117,26 @@ def test_stages_take_edge_rows(spark, tmp_path):
             if name != "packed":
                 assert docs.columns == [c.split()[0] for c in schema.split(", ")]
         assert (docs.count() > 0) == bool(part)
+
+
+def test_packing_follows_training_order(spark, tmp_path):
+    """What the mixture writes in training order is packed in that order, whatever the sizes of its files."""
+    rows = [(i * 7919 % 400, "en", f"src{i % 3}", 1, f"word{i} " * (2000 if i % 150 == 0 else 1 + i % 90)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, n_chars bigint, text string")
+    parts = spark.createDataFrame([(p, *r) for p, r in zip((0 if i < 10 else 1 if i < 350 else 2 for i in range(400)), rows)], "p int, doc_id bigint, lang string, source string, n_chars bigint, text string")
+    parts.repartitionById(3, F.col("p")).sortWithinPartitions(F.monotonically_increasing_id()).drop("p").write.parquet(str(tmp_path / "a"))
+    mixing.mix(docs).write.parquet(str(tmp_path / "b"))
+    places = {r["doc_id"]: [] for r in docs.collect()}
+    for r in spark.read.parquet(str(tmp_path / "b")).collect():
+        places[r["doc_id"]].append(r["_position"])
+    ordered = {"a": {r[0]: i for i, r in enumerate(rows)}, "b": {d: p[0] for d, p in places.items() if len(p) == 1}}
+    for name, at in ordered.items():
+        read = spark.read.parquet(str(tmp_path / name))
+        bins = sorted(corpus_pipeline.packed(spark, read, "").collect(), key=lambda r: (r["pack_group"], r["bin"]))
+        first = [at[r["pieces"][0]["doc_id"]] for r in bins if r["pieces"][0]["doc_id"] in at]
+        assert first == sorted(first) and len(first) >= 5
+        ranges = {}
+        for r in packing.pack_in_order(read, group_docs=30).collect():
+            ranges.setdefault(r["pack_group"], []).extend(at[p["doc_id"]] for p in r["pieces"] if p["doc_id"] in at)
+        ends = [(min(v), max(v)) for _, v in sorted(ranges.items()) if v]
+        assert len(ends) > 5 and all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
