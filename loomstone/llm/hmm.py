@@ -6,12 +6,15 @@ so every word has an emission of its own: P(word | state) = P(bucket | state) *
 the same in all states, so it takes no part in training and adds ln(n(word) / n(bucket)) to a text's likelihood for each
 such word; it comes from the table of all counts, joined by word. Training: Baum-Welch. In each round every partition runs the scaled forward-backward
 recursion over all its words and sends expected counts (starts, transitions, emissions); they are added up by block
-across partitions and normalised on the driver, where the model's size doesn't depend on the corpus. For training,
-texts are cut into consecutive stretches of `stretch` words; every word counts, only the transition from one stretch to
-the next is left out. Scoring: the scaled forward recursion over the whole text gives the exact log likelihood of its
-words. Sequences are sorted by length and advance together, so each step is one matrix product for many texts. Of a
-text longer than `block` words, the blocks advance in parallel from every possible previous state and are then chained,
-which gives the same likelihood as the plain recursion.
+across partitions and normalised on the driver, where the model's size doesn't depend on the corpus. Scoring: the scaled
+forward recursion over the whole text gives the exact log likelihood of its words.
+
+Sequences are sorted by length and advance together, so each step is one matrix product for many texts. Of a text
+longer than a block (`block` in scoring, `stretch` in training), the blocks advance in parallel from every possible
+previous state, which gives the matrix that takes the states before a block to those at its end. Chained from the left,
+these matrices give the states before each block, from the right the weight of all that follows it. So likelihoods and
+expected counts are those of the plain recursion over the whole text: starts are counted at starts of texts only, and
+transitions across borders of blocks like any other.
 """
 
 from __future__ import annotations
@@ -213,6 +216,56 @@ def _batches(sequences: list[np.ndarray], rows: int) -> Iterator[tuple[np.ndarra
         yield np.array(part), grid, going
 
 
+def _advanced(model: Hmm, units: list[np.ndarray], heads: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(states at each unit's end, log likelihood of the unit) from the distribution of its first state."""
+    by_symbol = np.ascontiguousarray(model.emit.T)
+    ends, logs = np.zeros((len(units), len(model.start))), np.zeros(len(units))
+    for numbers, grid, going in _batches(units, rows):
+        now = np.stack([heads[i] for i in numbers])
+        log = np.zeros(len(numbers))
+        for t in range(len(grid)):
+            a = int(going[t])
+            step = (now[:a] if t == 0 else now[:a] @ model.move) * by_symbol[grid[t, :a]]
+            scale = step.sum(axis=1)
+            now[:a] = step / scale[:, None]
+            log[:a] += np.log(scale)
+        ends[numbers], logs[numbers] = now, log
+    return ends, logs
+
+
+def _surrounded(model: Hmm, sequences: list[np.ndarray], rows: int, block: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The sequences' blocks as units, and for each whether it is a first one, the states before it (zeros for a first
+    one) and the weight by state at its end of what follows, in any scale (ones for a last one)."""
+    k = len(model.start)
+    units: list[np.ndarray] = []
+    chains: list[tuple[int, int]] = []  # first unit and number of units of the sequences with more than one
+    firsts: list[bool] = []
+    for s in sequences:
+        n = -(-len(s) // block)
+        if n > 1:
+            chains.append((len(units), n))
+        for at in range(0, len(s), block):
+            units.append(s[at : at + block])
+            firsts.append(at == 0)
+    before, after = np.zeros((len(units), k)), np.ones((len(units), k))
+    moved = [(at, 0) for at, _ in chains] + [(at + j, i) for at, n in chains for j in range(1, n) for i in range(k)]
+    ends, logs = _advanced(model, [units[u] for u, _ in moved], [model.start if firsts[u] else model.move[i] for u, i in moved], rows)
+    done = len(chains)
+    for c, (at, n) in enumerate(chains):
+        states, through = ends[c], []
+        for j in range(1, n):
+            part = slice(done, done + k)
+            through.append(ends[part] * np.exp(logs[part] - logs[part].max())[:, None])
+            done += k
+            before[at + j] = states
+            states = states @ through[-1]
+            states = states / states.sum()
+        for j in range(n - 1, 0, -1):
+            weight = through[j - 1] @ after[at + j]
+            after[at + j - 1] = weight / weight.max()
+    return units, np.array(firsts, dtype=bool), before, after
+
+
 class Counts:
     """Expected counts of the Baum-Welch step; they can be added."""
 
@@ -220,28 +273,31 @@ class Counts:
         self.start, self.move, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols))
         self.log_likelihood = 0.0
 
-    def collect(self, model: Hmm, sequences: list[np.ndarray], rows: int = 512) -> None:
-        by_symbol = np.ascontiguousarray(model.emit.T)
-        for _, grid, going in _batches(sequences, rows):
+    def collect(self, model: Hmm, sequences: list[np.ndarray], rows: int = 512, stretch: int = 4096) -> None:
+        """Adds the expected counts of whole sequences; `stretch` is the length of their blocks and changes no count."""
+        by_symbol, k = np.ascontiguousarray(model.emit.T), len(model.start)
+        units, firsts, before, after = _surrounded(model, sequences, rows, stretch)
+        heads = np.where(firsts[:, None], model.start, before @ model.move)
+        for numbers, grid, going in _batches(units, rows):
             steps, width = grid.shape
-            k = len(model.start)
             alpha, scale = np.zeros((steps, width, k)), np.ones((steps, width))
             for t in range(steps):
                 a = int(going[t])
-                now = (model.start if t == 0 else alpha[t - 1, :a] @ model.move) * by_symbol[grid[t, :a]]
+                now = (heads[numbers] if t == 0 else alpha[t - 1, :a] @ model.move) * by_symbol[grid[t, :a]]
                 scale[t, :a] = now.sum(axis=1)
                 alpha[t, :a] = now / scale[t, :a, None]
             self.log_likelihood += float(np.log(scale).sum())
-            beta = np.ones((width, k))
+            sizes = np.array([len(units[i]) for i in numbers])
+            beta = after[numbers] / (alpha[sizes - 1, np.arange(width)] * after[numbers]).sum(axis=1, keepdims=True)
             xi = np.zeros((k, k))
-            for t in range(steps - 2, -1, -1):
-                a = int(going[t + 1])
-                ahead = by_symbol[grid[t + 1, :a]] * beta[:a] / scale[t + 1, :a, None]
-                xi += alpha[t, :a].T @ ahead
-                alpha[t + 1, :a] *= beta[:a]
-                beta[:a] = ahead @ model.move.T
-            alpha[0] *= beta
-            self.start += alpha[0].sum(axis=0)
+            for t in range(steps - 1, -1, -1):
+                a = int(going[t])
+                ahead = by_symbol[grid[t, :a]] * beta[:a] / scale[t, :a, None]
+                xi += (alpha[t - 1, :a] if t else before[numbers]).T @ ahead
+                alpha[t, :a] *= beta[:a]
+                if t:
+                    beta[:a] = ahead @ model.move.T
+            self.start += alpha[0, firsts[numbers]].sum(axis=0)
             self.move += xi * model.move
             live = np.arange(width)[None, :] < going[:, None]
             seen, weight = grid[live], alpha[live]
@@ -260,14 +316,15 @@ def _arrays(batches: Iterator[pa.RecordBatch], column: int, words: int) -> Itera
 
 
 def expect(encoded: DataFrame, model: Hmm, stretch: int) -> Counts:
-    """One round's expected counts over all words of all documents, added up across partitions block by block."""
+    """One round's expected counts over all words of all documents, added up across partitions block by block. `stretch`
+    is the length of the blocks in which long texts advance; it changes no count."""
     sent = encoded.sparkSession.sparkContext.broadcast(model)
     states, symbols = model.emit.shape
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counts(states, symbols)
         for _, rows in _arrays(batches, 0, 1 << 21):
-            total.collect(sent.value, [r[s : s + stretch] for r in rows for s in range(0, len(r), stretch)])
+            total.collect(sent.value, rows, stretch=stretch)
         head = np.concatenate([total.start, total.move.ravel(), [total.log_likelihood]])
         values = [head.tobytes(), *(row.tobytes() for row in total.emit)]
         nest = np.full(len(values), TaskContext.get().partitionId() // 64)
@@ -291,7 +348,7 @@ def expect(encoded: DataFrame, model: Hmm, stretch: int) -> Counts:
 
 def log_likelihoods(model: Hmm, sequences: list[np.ndarray], rows: int = 512, block: int = 4096) -> np.ndarray:
     """Exact log likelihood of each sequence; 0 for an empty one."""
-    by_symbol, k = np.ascontiguousarray(model.emit.T), len(model.start)
+    k = len(model.start)
     units: list[np.ndarray] = []
     heads: list[np.ndarray] = []  # distribution of the first state of each unit
     where: list[list[int]] = []  # units of each sequence: one for its first block, k for each later one
@@ -303,17 +360,7 @@ def log_likelihoods(model: Hmm, sequences: list[np.ndarray], rows: int = 512, bl
                 units.append(s[at : at + block])
                 heads.append(head)
         where.append(mine)
-    ends, logs = np.zeros((len(units), k)), np.zeros(len(units))
-    for numbers, grid, going in _batches(units, rows):
-        now = np.stack([heads[i] for i in numbers])
-        log = np.zeros(len(numbers))
-        for t in range(len(grid)):
-            a = int(going[t])
-            step = (now[:a] if t == 0 else now[:a] @ model.move) * by_symbol[grid[t, :a]]
-            scale = step.sum(axis=1)
-            now[:a] = step / scale[:, None]
-            log[:a] += np.log(scale)
-        ends[numbers], logs[numbers] = now, log
+    ends, logs = _advanced(model, units, heads, rows)
     out = np.zeros(len(sequences))
     for i, mine in enumerate(where):
         if mine:
@@ -382,7 +429,7 @@ def train(encoded: DataFrame, words: Words, counts: np.ndarray, states: int, rou
 
 
 def score_documents(
-    docs: DataFrame, states: int = 8, vocabulary: int = 8192, buckets: int = 256, rounds: int = 4, stretch: int = 512, seed: int = 11,
+    docs: DataFrame, states: int = 8, vocabulary: int = 8192, buckets: int = 256, rounds: int = 4, stretch: int = 4096, seed: int = 11,
 ) -> DataFrame:
     """Trains on all documents and scores each row: doc_id, n_words, log_likelihood, per_word, perplexity.
 

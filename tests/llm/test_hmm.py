@@ -57,6 +57,53 @@ def test_blocks_of_long_texts_give_the_plain_likelihood():
         assert np.allclose(hmm.log_likelihoods(m, seqs, rows=5, block=block), plain, rtol=1e-10)
 
 
+def one_piece(m, seq):
+    """Log likelihood and expected counts of a sequence by the plain forward-backward recursion, one word after the other."""
+    a, b, scale = [], np.ones(len(m.start)), []
+    for t, o in enumerate(seq):
+        now = (m.start if t == 0 else a[-1] @ m.move) * m.emit[:, o]
+        scale.append(now.sum())
+        a.append(now / scale[-1])
+    move, emit = np.zeros_like(m.move), np.zeros_like(m.emit)
+    for t in range(len(seq) - 1, -1, -1):
+        emit[:, seq[t]] += a[t] * b
+        if t:
+            ahead = m.emit[:, seq[t]] * b / scale[t]
+            move += np.outer(a[t - 1], ahead) * m.move
+            b = m.move @ ahead
+    return np.log(scale).sum(), a[0] * b, move, emit
+
+
+def test_counts_of_texts_longer_than_a_block_equal_the_plain_recursion():
+    """Starts are counted once for each text, and transitions across the borders of blocks are there."""
+    rng = np.random.default_rng(6)
+    for k, symbols in ((3, 5), (8, 40)):
+        m = random_model(k, symbols, k)
+        seqs = [rng.integers(0, symbols, n).astype(np.uint16) for n in (0, 1, 2, 7, 8, 9, 23, 24, 100, 731)]
+        want = [one_piece(m, s) for s in seqs if len(s)]
+        small = [s for s in seqs if 0 < len(s) < 9 and k == 3]
+        for s in small:
+            total, *counts = all_paths(m, s)
+            assert np.isclose(one_piece(m, s)[0], math.log(total)) and all(np.allclose(a, b) for a, b in zip(one_piece(m, s)[1:], counts))
+        for stretch in (1, 2, 8, 50, 4096):
+            got = hmm.Counts(k, symbols)
+            got.collect(m, seqs, rows=6, stretch=stretch)
+            assert np.isclose(got.log_likelihood, sum(w[0] for w in want), rtol=1e-11, atol=0)
+            for have, i in ((got.start, 1), (got.move, 2), (got.emit, 3)):
+                assert np.allclose(have, sum(w[i] for w in want), rtol=1e-9, atol=1e-9)
+            assert np.isclose(got.start.sum(), len(want)) and np.isclose(got.move.sum(), sum(len(s) - 1 for s in seqs if len(s)))
+
+
+def test_training_does_not_depend_on_the_block(spark):
+    _, df = docs(spark)
+    words, counts = hmm.learn_words(df, 40, 8)
+    encoded = hmm.encode(df.repartition(3), words)
+    short, path = hmm.train(encoded, words, counts, states=3, rounds=4, stretch=5, seed=3)
+    whole, same = hmm.train(encoded, words, counts, states=3, rounds=4, stretch=4096, seed=3)
+    assert np.allclose(short.emit, whole.emit) and np.allclose(short.move, whole.move) and np.allclose(short.start, whole.start)
+    assert np.allclose(path, same) and all(b >= a - 1e-6 for a, b in zip(path, path[1:]))
+
+
 def docs(spark, n=120, seed=5):
     rng = random.Random(seed)
     lex = {"a": [f"alpha{i}" for i in range(30)], "b": [f"beta{i}" for i in range(30)]}
