@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomstone.llm import hnsw
 
@@ -87,3 +88,46 @@ def test_few_and_no_rows(spark):
     assert {r["vec_id"]: [n["id"] for n in r["neighbours"]] for r in hnsw.neighbours(one, k=10).collect()} == {1: [2], 2: [1]}
     assert [r["neighbours"] for r in hnsw.neighbours(one.limit(1), k=10).collect()] == [[]]
     assert hnsw.neighbours(one.limit(0)).count() == 0
+
+
+def test_some_are_asked_of_all_and_few_cells_are_probed(spark):
+    """Queries with an id divisible by 20 against all rows, as op6 asks, in many cells of which few are searched."""
+    x = clustered(4000, seed=7)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r["vec_id"]: r["neighbours"] for r in hnsw.neighbours(frame, shard_rows=100, probes=8, asked=F.col("vec_id") % 20 == 0).collect()}
+    want, d = exact(x, 10)
+    assert set(got) == set(range(0, 4000, 20))
+    assert all(np.allclose([n["distance"] for n in got[i]], d[i, [n["id"] for n in got[i]]], atol=1e-5) for i in got)
+    assert sum(len({n["id"] for n in got[i]} & set(want[i])) for i in got) / 2000 >= 0.9
+
+
+def test_a_third_of_copies_is_one_node(spark):
+    x = np.concatenate([np.repeat(clustered(1, seed=8), 700, axis=0), clustered(1400, seed=9)])
+    frame = spark.createDataFrame([(i, (v * 2 ** (i % 3)).tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(7)
+    got = {r["vec_id"]: r["neighbours"] for r in hnsw.neighbours(frame, k=5, shard_rows=200).collect()}
+    assert len(got) == 2100 and all(len(n) == 5 for n in got.values())
+    for i in (0, 3, 699):
+        assert [n["id"] for n in got[i]] == [j for j in range(7) if j != i][:5] and all(n["distance"] < 1e-6 for n in got[i])
+
+
+def test_cells_beyond_their_number_get_more_shards(spark):
+    x = clustered(1200, seed=4)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r["vec_id"]: [n["id"] for n in r["neighbours"]] for r in hnsw.neighbours(frame, shard_rows=100, cells=3, probes=3).collect()}
+    want, _ = exact(x, 10)
+    assert sum(len(set(got[i]) & set(want[i])) for i in range(1200)) / 12_000 >= 0.97
+
+
+def test_as_many_cells_are_searched_as_the_vectors_take(spark):
+    """Vectors without clusters, in forty cells: the default number of cells keeps the recall; clusters take few."""
+    x = unit(np.random.default_rng(11).normal(size=(2000, 24))).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {r["vec_id"]: [n["id"] for n in r["neighbours"]] for r in hnsw.neighbours(frame, shard_rows=50, asked=F.col("vec_id") % 20 == 0).collect()}
+    want, _ = exact(x, 10)
+    assert sum(len(set(got[i]) & set(want[i])) for i in got) / 1000 >= 0.95
+    rng = np.random.default_rng(12)
+    tight = unit(np.repeat(rng.normal(size=(8, 24)), 50, axis=0) + 0.05 * rng.normal(size=(400, 24))).astype(np.float32)
+    cells = hnsw.centroids(tight[::2], 8)
+    nodes = spark.createDataFrame([(v.tolist(), int((v @ cells.T).argmax())) for v in tight], "v array<float>, c int").repartition(3)
+    ranks = lambda v: np.argsort(-(v @ cells.T), axis=1)
+    assert hnsw._enough(nodes, tight[:40], ranks(tight[:40]), 10, 0.98) <= 2
