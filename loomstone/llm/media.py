@@ -5,8 +5,9 @@ only, so all its values come from five vectorised doubling steps. A chunk ends w
 before `min_size` and at `max_size` at the latest. An insertion moves only the cuts near it.
 
 A payload is kept as the ordered list of its chunks' SHA-256 digests and lengths. Equal digests are one stored chunk.
-`restore` joins the lists to the store, puts the chunks together in their order and compares the SHA-256 of the result
-with that of the payload.
+`restore` joins the lists to the store, puts the chunks of every payload together in their order and compares the SHA-256
+of the result with that of the payload. Chunks are small, so they are compressed with a common dictionary, which belongs
+to the store.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import slices
+from loomstone.llm.common import cut, slices
 
 GEAR = np.array([int.from_bytes(hashlib.sha256(b"gear" + bytes([i])).digest()[:4], "little") for i in range(256)], dtype=np.uint32)
 SPAN = 32
@@ -99,12 +100,33 @@ def manifests(df: DataFrame, key: str, payload: str, sizes: tuple[int, int, int]
     return rows.mapInArrow(listed, f"id {kind}, n_bytes bigint, sha256 binary, chunks {CHUNKS}")
 
 
-def chunk_store(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES, level: int = 6) -> DataFrame:
-    """(digest, packed): each distinct chunk once, compressed. A task sends a chunk only once; one shuffle by digest
-    leaves one row for each."""
+def dictionary(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES, samples: int = 1500, size: int = 64 << 10) -> bytes | None:
+    """A compression dictionary of `size` bytes, trained on at most `samples` chunks, one of each of the payloads with the
+    smallest hashes. It decides how small a store is, not what is in it. None where the payloads are too few or too
+    short to train one."""
+    share = min(1.0, 1.3 * samples / max(1, df.count()))  # of the hashes, so that a task sends no more than it has to
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            rows = [(h, chunk_bytes(_payload(v), sizes)) for h, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows = [(h, c[h % len(c)]) for h, c in rows if c]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.binary())], names=["h", "chunk"])
+
+    rows = df.select(F.xxhash64(F.col(payload)).alias("h"), F.col(payload).alias("payload")).where(F.col("payload").isNotNull() & (F.col("h").cast("double") <= (2 * share - 1) * 2.0**63))
+    some = [bytes(r["chunk"]) for r in rows.mapInArrow(picked, "h bigint, chunk binary").distinct().orderBy("h", "chunk").limit(samples).collect()]
+    try:
+        return zstandard.train_dictionary(size, some).as_bytes() if sum(map(len, some)) >= 8 * size else None
+    except zstandard.ZstdError:
+        return None
+
+
+def chunk_store(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES, level: int = 6, book: bytes | None = None) -> DataFrame:
+    """(digest, packed): each distinct chunk once, compressed, with the dictionary `book` if there is one. A task sends a
+    chunk only once; one shuffle by digest leaves one row for each. A null or empty payload has no chunks, repeated
+    chunks are one row, an empty table gives none. Other columns aren't read."""
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, seen = zstandard.ZstdCompressor(level=level), set()
+        squeeze, seen = zstandard.ZstdCompressor(level=level, dict_data=book and zstandard.ZstdCompressionDict(book)), set()
         for batch in slices(batches, 0):
             digests, packed = [], []
             for v in batch.column(0).to_pylist():
@@ -123,51 +145,43 @@ def chunk_store(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES
 
 
 def new_chunks(store: DataFrame, existing: DataFrame) -> DataFrame:
-    """The chunks of `store` that an `existing` store lacks: what an incremental load has to write."""
+    """The chunks of `store` that an `existing` store lacks: what an incremental load has to write. Both have distinct
+    digests that aren't null; other columns of `existing` aren't read; an empty store gives no rows, an empty `existing`
+    all. Both stores need the same dictionary."""
     return store.join(existing.select("digest"), "digest", "left_anti")
 
 
-def restore(lists: DataFrame, store: DataFrame, with_payload: bool = True) -> DataFrame:
-    """(sha256, payload, restored) for each distinct payload of `lists`, put together from the store. restored is true
-    only if all chunks are there and the SHA-256 of the result is the payload's; a payload that isn't has a null
-    payload. Equal payloads are restored once.
+def restore(lists: DataFrame, store: DataFrame, with_payload: bool = True, book: bytes | None = None) -> DataFrame:
+    """(sha256, payload, restored) for each distinct payload of `lists`, put together from the store (and its dictionary).
+    restored is true only if all chunks are there and the SHA-256 of what they make is the payload's; a payload that
+    isn't restored, or any without `with_payload`, has a null payload.
 
-    Every chunk is held against its digest where it is stored. A payload of one chunk has that chunk's digest, so it is
-    proven there and, unless the payloads are asked for, its bytes go no further; those of longer payloads are sent on
-    to be put together."""
+    Equal payloads are put together once; one without chunks (the empty payload) is restored; rows with a null sha256
+    give no row; an empty table gives none. Of `lists` only sha256 and chunks are read, of `store` digest and packed."""
     distinct = lists.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.first("chunks").alias("chunks"))
-    wanted = distinct.select("sha256", F.size("chunks").alias("n"), F.posexplode_outer("chunks").alias("seq", "c"))
-    located = wanted.select("sha256", "n", "seq", F.col("c.digest").alias("digest")).join(store, "digest", "left")
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        for batch in slices(batches, 4):
-            keep, ok = [], []
-            for sha, n, digest, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
-                good = digest is None if packed is None else hashlib.sha256(expand.decompress(packed)).digest() == digest
-                alone = n == 1 and not with_payload  # the chunk is the payload: nothing to put together
-                ok.append(good and (not alone or sha == digest))
-                keep.append(None if alone else packed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keep, pa.binary()), pa.array(ok, pa.bool_())], names=["sha256", "seq", "packed", "ok"])
-
-    stored = located.select("sha256", "n", "seq", "digest", "packed").mapInArrow(checked, "sha256 binary, seq int, packed binary, ok boolean")
-    found = stored.groupBy("sha256").agg(F.collect_list(F.struct("seq", "packed")).alias("parts"), F.every("ok").alias("ok"))
+    wanted = distinct.select("sha256", F.posexplode_outer("chunks").alias("seq", "c")).select("sha256", "seq", F.col("c.digest").alias("digest"))
+    located = wanted.join(store.select("digest", "packed"), "digest", "left")
+    there = F.every(F.col("packed").isNotNull() | F.col("seq").isNull())
+    found = located.groupBy("sha256").agg(F.collect_list(F.struct("seq", "packed")).alias("parts"), there.alias("there"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
+        expand = zstandard.ZstdDecompressor(dict_data=book and zstandard.ZstdCompressionDict(book))
+
+        def put_together(digest: bytes, parts: list[dict]) -> bytes | None:
+            try:
+                payload = b"".join(expand.decompress(p["packed"]) for p in sorted((p for p in parts if p["seq"] is not None), key=lambda p: p["seq"]))
+            except zstandard.ZstdError:  # a damaged chunk
+                return None
+            return payload if hashlib.sha256(payload).digest() == digest else None
+
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 whole, good = [], []
-                for digest, parts, ok in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    parts = sorted((p for p in parts if p["seq"] is not None), key=lambda p: p["seq"])
-                    if ok and (with_payload or len(parts) != 1):
-                        payload = b"".join(expand.decompress(p["packed"]) for p in parts)
-                        ok = hashlib.sha256(payload).digest() == digest
-                        whole.append(payload if ok and with_payload else None)
-                    else:
-                        whole.append(None)
-                    good.append(ok)
+                for digest, parts, there in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    payload = put_together(digest, parts) if there else None
+                    good.append(payload is not None)
+                    whole.append(payload if with_payload else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.binary()), pa.array(good, pa.bool_())], names=["sha256", "payload", "restored"])
 
     return found.mapInArrow(joined, "sha256 binary, payload binary, restored boolean")
@@ -175,8 +189,11 @@ def restore(lists: DataFrame, store: DataFrame, with_payload: bool = True) -> Da
 
 def deduplicate(df: DataFrame, key: str, payload: str, sizes: tuple[int, int, int] = SIZES) -> DataFrame:
     """(key, n_bytes, sha256, chunks, restored) for every row of df: its ordered chunk list, and whether putting the
-    stored chunks together gives the payload back. Nothing is restored for a null payload (restored is null); key may
-    be null or repeated; columns other than key and payload aren't read; an empty table gives no rows."""
-    lists = manifests(df, key, payload, sizes)
-    checked = restore(lists, chunk_store(df, payload, sizes), with_payload=False).select("sha256", "restored")
+    stored chunks together gives the payload back, which is done for every distinct payload. Nothing is restored for a
+    null payload (restored is null); key may be null or repeated; columns other than key and payload aren't read; an
+    empty table gives no rows. The lists are written once; payloads are read for them, for the store and, a sample, for
+    its dictionary."""
+    lists = cut(manifests(df, key, payload, sizes))
+    book = dictionary(df, payload, sizes)
+    checked = restore(lists, chunk_store(df, payload, sizes, book=book), with_payload=False, book=book).select("sha256", "restored")
     return lists.join(checked, "sha256", "left").select(F.col("id").alias(key), "n_bytes", "sha256", "chunks", "restored")

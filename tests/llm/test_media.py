@@ -110,3 +110,30 @@ def test_incremental_store_and_texts(spark):
     assert md.deduplicate(a.limit(0), "doc_id", "text").count() == 0
     with pytest.raises(ValueError):
         md.chunk_lengths(b"x", (8, 64, 256))
+
+
+def test_every_payload_is_put_together(spark):
+    """One chunk or many: of all distinct payloads, restore() gives the bytes, and a damaged frame of any is found."""
+    rng = random.Random(6)
+    payloads = [rng.randbytes(n) for n in (0, 1, 31, 900, 1024, 5000, 33_000, 250_000)]
+    df = spark.createDataFrame([(i % 8, bytearray(payloads[i % 8])) for i in range(16)], "doc_id bigint, payload binary")
+    lists, store = md.manifests(df, "doc_id", "payload"), md.chunk_store(df, "payload")
+    back = [bytes(r["payload"]) for r in md.restore(lists, store).collect() if r["restored"]]
+    assert sorted(back) == sorted(payloads) and {len(md.chunk_bytes(p)) for p in payloads} > {0, 1}
+    rows = [(bytearray(r["digest"]), bytearray(r["packed"][:-3])) for r in store.collect()]  # frames cut short
+    bad = md.restore(lists, spark.createDataFrame(rows, "digest binary, packed binary")).collect()
+    assert len(bad) == 8 and [r["payload"] for r in bad if r["restored"]] == [b""]
+
+
+def test_a_dictionary_changes_the_store_only_in_size(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    book = md.dictionary(docs, "text", samples=100, size=8 << 10)
+    assert book and book == md.dictionary(docs.repartition(5), "text", samples=100, size=8 << 10)
+    plain, small = md.chunk_store(docs, "text"), md.chunk_store(docs, "text", book=book)
+    size = lambda s: {bytes(r["digest"]): len(r["packed"]) for r in s.collect()}
+    a, b = size(plain), size(small)
+    assert set(a) == set(b) and sum(b.values()) < 0.95 * sum(a.values())
+    got = {r["sha256"]: r["payload"] for r in md.restore(md.manifests(docs, "doc_id", "text"), small, book=book).collect()}
+    want = {hashlib.sha256(r["text"].encode()).digest(): r["text"].encode() for r in docs.where("text IS NOT NULL").collect()}
+    assert {bytes(k): bytes(v) for k, v in got.items()} == want
+    assert md.dictionary(docs.limit(0), "text") is None and md.dictionary(docs.limit(2), "text") is None
