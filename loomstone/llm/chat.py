@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.common import slices
+
 START, END = "\ue000", "\ue001"
 TOKENIZER = "byte_bpe_50k.json"
 SCHEMA = "conv_id bigint, n_turns int, n_tokens int, n_trained int, input_ids array<int>, loss_mask array<tinyint>"
@@ -76,7 +78,7 @@ def format_chats(turns: DataFrame, path: str | None = None, trained: frozenset[s
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches, 2):
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 chats = [[(t["role"], t["text"]) for t in c] for c in part.column(1).to_pylist()]
@@ -96,5 +98,5 @@ def format_chats(turns: DataFrame, path: str | None = None, trained: frozenset[s
         F.col("conv_id").cast("bigint").alias("conv_id"),
         F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"), F.sum(F.octet_length("t.text")).alias("n_bytes"))
     return chats.mapInArrow(formatted, SCHEMA)

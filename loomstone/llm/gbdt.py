@@ -209,11 +209,11 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores at least `threshold`, with all their columns; no shuffle. A null text scores
-    as an empty one."""
+    """The rows of docs whose text scores at least `threshold`, with all their columns, whatever their names; no shuffle. A
+    null or empty text scores by its all-zero statistics; null ids don't matter; repeated rows stay or go each; an empty
+    table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast(forest)
     place = docs.columns.index("text")
-    names = list(docs.columns)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, place):
@@ -221,4 +221,4 @@ def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFr
             x = np.array([document_stats(t) for t in texts], dtype=np.float64).reshape(-1, len(STATS))
             yield batch.filter(pa.array(model.value.probability(x) >= threshold))
 
-    return docs.select(names).mapInArrow(kept, docs.schema)
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(kept, docs.schema)

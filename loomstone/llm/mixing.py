@@ -21,6 +21,8 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.llm.common import quoted
+
 #: Source `src0` is eased out, `src19` and `src18` are raised towards the end, all others keep the same weight.
 SCHEDULE = {"src0": [90, 60, 30], "src18": [5, 10, 20], "src19": [5, 10, 40]}
 KNOTS = [0.0, 0.5, 1.0]
@@ -33,14 +35,14 @@ def token_estimate(text: str = "text") -> Column:
 
 
 def segments(supply: DataFrame, schedule: dict[str, list[int]], knots: list[float], default: list[int], total: int | None = None) -> DataFrame:
-    """(src, t0, t1, p0, p1, d0, d1, span, demand, total) for each source and stretch between knots: shares at both
+    """From (src, supply), src as _src() makes it: (src, t0, t1, p0, p1, d0, d1, span, demand, total) for each source and stretch between knots: shares at both
     ends, tokens demanded before both ends, tokens demanded of all sources in the stretch, of this source in all."""
     spark = supply.sparkSession
     if not len(knots) >= 2 or knots[0] != 0 or knots[-1] != 1 or sorted(set(knots)) != knots:
         raise ValueError("knots must rise from 0 to 1")
     if any(len(w) != len(knots) or min(w) < 0 for w in [default, *schedule.values()]):
         raise ValueError("each source needs one non-negative integer weight for each knot")
-    planned = spark.createDataFrame([(k, w) for k, w in schedule.items()] or [("", default)], "src string, w array<bigint>")
+    planned = spark.createDataFrame([(f"={k}", w) for k, w in schedule.items()] or [("", default)], "src string, w array<bigint>")
     if not schedule:
         planned = planned.limit(0)
     weights = supply.join(planned, "src", "left").select("src", "supply", F.coalesce("w", F.array(*map(F.lit, default))).alias("w"))
@@ -64,26 +66,46 @@ def segments(supply: DataFrame, schedule: dict[str, list[int]], knots: list[floa
     )
 
 
+def _src(source: str | Column) -> Column:
+    """A source as a key: a null source isn't the empty one."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def unmet_demand(
+    docs: DataFrame, schedule: dict[str, list[int]] = SCHEDULE, knots: list[float] = KNOTS, default: list[int] = DEFAULT,
+    total: int | None = None, max_epochs: int | None = 4, n_tokens: Column | None = None,
+) -> DataFrame:
+    """(source, supply, demand, unmet), a row for each source of docs: its tokens, those that the schedule asks for, and
+    how many of these mix() leaves out with the same arguments because `max_epochs` passes don't give them; 0 where the
+    weights are met. Nulls and edge rows count as in mix(); an empty table gives no rows."""
+    rows = docs.select(_src("source").alias("src"), (token_estimate() if n_tokens is None else n_tokens).alias("n"))
+    plan = segments(rows.groupBy("src").agg(F.sum("n").alias("supply")), schedule, knots, default, total).select("src", "supply", "demand").distinct()
+    missing = F.lit(0.0) if max_epochs is None else F.greatest(F.lit(0.0), F.col("demand") - F.lit(max_epochs) * F.col("supply"))
+    source = F.when(F.col("src") != "", F.expr("substring(src, 2)"))
+    return plan.select(source.alias("source"), "supply", "demand", missing.alias("unmet"))
+
+
 def mix(
     docs: DataFrame, schedule: dict[str, list[int]] = SCHEDULE, knots: list[float] = KNOTS, default: list[int] = DEFAULT,
-    total: int | None = None, max_epochs: int = 4, seed: str = "mix", prefix: int | None = None, n_tokens: Column | None = None,
+    total: int | None = None, max_epochs: int | None = 4, seed: str = "mix", prefix: int | None = None, n_tokens: Column | None = None,
     positions: bool = True,
 ) -> DataFrame:
     """The columns of docs and, with `positions`, _tokens, _epoch and _position (in tokens of the whole run), sorted by
     position.
 
     `total` is the run's length in tokens, by default the tokens of docs. A source not in the schedule gets the default
-    weights; a null source is a source of its own; a null or empty text counts one token; null ids and repeated rows are
-    documents of their own (rows equal in hash, id and tokens follow each other in any order). Ties of position are
+    weights; a null source is a source of its own, not the empty one; a null or empty text counts one token; null ids and
+    repeated rows are documents of their own (rows equal in hash, id and tokens follow each other in any order; null ids
+    are hashed by their tokens). A source whose demand takes more than `max_epochs` passes ends early, and its positions
+    stay empty: unmet_demand() tells how much that is; None sets no limit. Ties of position are
     ordered by source and id. A source of weight 0 throughout places nothing; an empty table gives no rows. The
     caller's columns travel in one struct, so their names can't clash with those used here."""
     if prefix is None:  # some thousand documents of a source in a bucket, were all of one source; a count of Parquet reads only footers
         prefix = max(1, ceil(log(max(1, docs.count()) / 8192, 16)))
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.coalesce(F.col("source"), F.lit("")).alias("src"), F.col("source").alias("named"), F.col("doc_id").alias("id"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("hash"),
+        F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), _src("source").alias("src"), F.col("source").alias("named"), F.col("doc_id").alias("id"),
         (token_estimate() if n_tokens is None else n_tokens).alias("tokens"),
-    ).withColumn("bucket", F.substring("hash", 1, prefix))
+    ).withColumn("hash", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit(":"), "tokens"))))).withColumn("bucket", F.substring("hash", 1, prefix))
     totals = rows.groupBy("src", "bucket").agg(F.sum("tokens").alias("n"))
     running = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("src", "bucket", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
@@ -94,7 +116,7 @@ def mix(
     placed = (
         rows.withColumn("earlier", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
         .join(starts, ["src", "bucket"])
-        .withColumn("passes", F.least(F.lit(max_epochs), F.ceil(F.col("demand") / F.col("supply"))).cast("int"))
+        .withColumn("passes", F.least(F.lit(max_epochs), F.ceil(F.col("demand") / F.col("supply"))).cast("int"))  # least() leaves nulls out
         .where("passes > 0")
         .withColumn("epoch", F.explode(F.expr("sequence(0, passes - 1)")))
         .withColumn("c", (F.col("epoch") * F.col("supply") + F.col("base") + F.col("earlier")).cast("double"))
@@ -105,13 +127,13 @@ def mix(
     u = f"CASE WHEN {y} <= 0 THEN 0.0D ELSE 2.0D * {y} / (g.p0 + sqrt(greatest(g.p0 * g.p0 + 2.0D * (g.p1 - g.p0) * {y}, 0.0D))) END"
     at = F.expr(f"CAST(floor((g.t0 + ({u}) * (g.t1 - g.t0)) * CAST(total AS DOUBLE)) AS BIGINT)")
     ordered = placed.withColumn("position", at).orderBy("position", "named", "id")
-    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    own = [F.col("row")[c].alias(c) for c in docs.columns]
     return ordered.select(*own, *([F.col("tokens").alias("_tokens"), F.col("epoch").alias("_epoch"), F.col("position").alias("_position")] if positions else []))
 
 
-def duck_sql(schedule: dict[str, list[int]] = SCHEDULE, knots: list[float] = KNOTS, default: list[int] = DEFAULT, max_epochs: int = 4, seed: str = "mix") -> str:
+def duck_sql(schedule: dict[str, list[int]] = SCHEDULE, knots: list[float] = KNOTS, default: list[int] = DEFAULT, max_epochs: int | None = 4, seed: str = "mix") -> str:
     """DuckDB statement for mix() on `documents`: doc_id, source, n_tokens, epoch, position."""
-    weight = lambda i: "CASE src " + " ".join(f"WHEN '{s}' THEN {w[i]}" for s, w in schedule.items()) + f" ELSE {default[i]} END"
+    weight = lambda i: "CASE src " + " ".join(f"WHEN '={s}' THEN {w[i]}" for s, w in schedule.items()) + f" ELSE {default[i]} END"
     parts, before = [], "0.0::DOUBLE"
     for i in range(len(knots) - 1):
         span = f"(total::DOUBLE * {knots[i + 1] - knots[i]!r}::DOUBLE)"
@@ -120,8 +142,8 @@ def duck_sql(schedule: dict[str, list[int]] = SCHEDULE, knots: list[float] = KNO
         before = after
     shares = ", ".join(f"(w{i}::DOUBLE / (sum(w{i}) OVER ())::DOUBLE) p{i}" for i in range(len(knots)))
     return f"""
-    WITH rows AS (SELECT doc_id, source, coalesce(source, '') src, md5(concat('{seed}:', doc_id)) h,
-            CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 4.0::DOUBLE)) AS BIGINT) n FROM documents),
+    WITH counted AS (SELECT doc_id, source, coalesce('=' || source, '') src, CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 4.0::DOUBLE)) AS BIGINT) n FROM documents),
+        rows AS (SELECT *, md5(concat('{seed}:', coalesce(doc_id::VARCHAR, ':' || n))) h FROM counted),
         ordered AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY src ORDER BY h, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) c0 FROM rows),
         supplies AS (SELECT src, CAST(sum(n) AS BIGINT) supply FROM rows GROUP BY src),
         weights AS (SELECT src, supply, CAST(sum(supply) OVER () AS BIGINT) total, {", ".join(f"{weight(i)} w{i}" for i in range(len(knots)))} FROM supplies),
@@ -129,7 +151,7 @@ def duck_sql(schedule: dict[str, list[int]] = SCHEDULE, knots: list[float] = KNO
         demanded AS (SELECT *, {before} demand FROM shares),
         stretches AS ({" UNION ALL ".join(parts)}),
         passes AS (SELECT o.*, p.demand, p.supply, e.epoch, (e.epoch * p.supply + o.c0)::DOUBLE c FROM ordered o JOIN demanded p USING (src)
-            JOIN (SELECT unnest(range({max_epochs})) epoch) e ON e.epoch < ceil(p.demand / p.supply::DOUBLE)),
+            JOIN (SELECT unnest(range({max_epochs or "(SELECT CAST(max(ceil(demand / supply::DOUBLE)) AS BIGINT) FROM demanded)"})) epoch) e ON e.epoch < ceil(p.demand / p.supply::DOUBLE)),
         placed AS (SELECT a.*, g.t0, g.t1, g.pa, g.pb, g.total, (a.c - g.d0) / g.span y FROM passes a JOIN stretches g ON a.src = g.src AND g.d0 <= a.c AND a.c < g.d1 WHERE a.c < a.demand)
     SELECT doc_id, source, n AS n_tokens, CAST(epoch AS INTEGER) AS epoch,
         CAST(floor((t0 + (CASE WHEN y <= 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * y / (pa + sqrt(greatest(pa * pa + 2.0::DOUBLE * (pb - pa) * y, 0.0::DOUBLE))) END) * (t1 - t0)) * total::DOUBLE) AS BIGINT) AS position

@@ -87,11 +87,18 @@ def pack(sizes: DataFrame, capacity: int = 4096, group_docs: int = 8192, seed: i
     """Packs (doc_id, n_tokens) rows: one row for each bin with its group, number within the group, tokens and pieces.
 
     Rows with a null, zero or negative n_tokens have nothing to pack and are in no bin; null ids and repeated rows are
-    documents of their own; ties in the order (equal id and length) are the same piece either way; an empty table gives
-    no bins. Only doc_id and n_tokens are read. `sizes` is read twice, to count and to pack."""
+    documents of their own, spread over the groups like others by their length and number, so that any number of them
+    fits; ties in the order (equal id and length) are the same piece either way; an empty table gives no bins. Only
+    doc_id and n_tokens are read. `sizes` is read twice, to count and to pack."""
     rows = sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n_tokens")).where("n_tokens > 0")
     groups = max(1, -(-rows.count() // group_docs))
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("g", F.pmod("h", F.lit(groups)))
+    block = 100_000  # equal rows are numbered without a list of them all
+    equal = rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("n"))
+    equal = equal.withColumn("b", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {block}"))))
+    equal = equal.withColumn("i", F.explode(F.sequence(F.col("b") * block, F.least(F.col("n"), (F.col("b") + 1) * block) - 1)))
+    of_id = F.xxhash64(F.lit(seed), "doc_id")
+    h = F.when(F.col("doc_id").isNull() | (F.col("i") > 0), F.xxhash64(F.lit(seed), "doc_id", "n_tokens", "i")).otherwise(of_id)
+    hashed = equal.select("doc_id", "n_tokens", h.alias("h")).withColumn("g", F.pmod("h", F.lit(groups)))
 
     def packed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by([("h", "ascending"), ("doc_id", "ascending"), ("n_tokens", "ascending")])

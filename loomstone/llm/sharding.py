@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.common import quoted
+
 _STEP = np.uint64(2862933555777941757)
 
 
@@ -40,7 +42,7 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def stable_key(column: str | Column) -> Column:
     """64-bit key of an id as 16 hex digits; a null id has the key of the empty string."""
-    text = F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
+    text = F.coalesce((F.col(quoted(column)) if isinstance(column, str) else column).cast("string"), F.lit(""))
     return F.substring(F.md5(text), 1, 16)
 
 
@@ -64,18 +66,20 @@ def assign(df: DataFrame, key: str, counts: list[int], names: list[str] | None =
     while found in df.columns:
         found += "_"
     held = df.withColumn(found, shards_of(stable_key(key)))
-    return held.select(*df.columns, *(F.col(f"{found}.s{i}").alias(n) for i, n in enumerate(names)))
+    return held.select(*(F.col(quoted(c)) for c in df.columns), *(F.col(quoted(found))[f"s{i}"].alias(n) for i, n in enumerate(names)))
 
 
 def sharded(df: DataFrame, key: str, shards: int, name: str = "shard") -> DataFrame:
-    """df with its shard, moved so that each shard is one partition of the same number; whole rows are shuffled once."""
+    """df with its shard, moved so that each shard is one partition of the same number; whole rows are shuffled once.
+    Null and equal keys, repeated rows and clashing names are as in assign(); an empty table gives no rows."""
     return assign(df, key, [shards], [name]).repartitionById(shards, F.col(name))
 
 
 def reshard(df: DataFrame, key: str, old: int, new: int) -> DataFrame:
     """(key, shard, new_shard) of the rows that an enlarged layout moves: the only ones to copy when shards are
-    appended."""
-    both = assign(df.select(key), key, [old, new], ["shard", "new_shard"])
+    appended. Null keys are one key; repeated rows come each; an empty table, or new equal to old, gives no rows; other
+    columns aren't read. The key can't be called shard or new_shard."""
+    both = assign(df.select(quoted(key)), key, [old, new], ["shard", "new_shard"])
     return both.where("shard <> new_shard")
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import cut, shared_dir, slices
+from loomstone.llm.common import cut, qualified, shared_dir, slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 50_256
@@ -69,7 +69,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, more: dict[str, Colum
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None = None, end: int = END, vocabulary: int = 50_257) -> DataFrame:
-    """Writes all documents' ids to `folder` (default: a new one in the shared folder) and returns one row for each
+    """Writes all documents' ids to `folder` (default: a new one in the shared folder; without a scheme it is on
+    the session's default file system) and returns one row for each
     row of docs: doc_id, part, part_row, n_tokens (with the end id), start and stop (global 64-bit token offsets),
     file.
 
@@ -77,7 +78,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
     gives no rows and no ids. Only doc_id and text are read. The ids are checked to fit the integer type."""
     spark, path = docs.sparkSession, path or vocabulary_path()
     folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = qualified(spark, folder)
     dtype = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,3 +136,9 @@ def test_training_sample_is_bounded_and_stable(spark):
     d, lab = frames(spark, [(i, "text", "", 0, "") for i in range(3000)], [(i // 2, i % 2, "") for i in range(6000)])
     hashes = {r["doc_id"]: r["h"] for r in lab.select("doc_id", gbdt.F.xxhash64(gbdt.F.lit(17), "doc_id").alias("h")).collect()}
     assert ids(200) == set(sorted(hashes, key=hashes.get)[:200])  # by way of the bound on the hash
+
+
+def test_columns_of_any_name_come_through(spark):
+    docs = spark.createDataFrame([(i, "words and more words " * (i + 1), i, "x") for i in range(12)], "doc_id bigint, text string, `a.b` int, `c``d` string")
+    forest = gbdt.train(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int"))
+    assert gbdt.keep_good(docs, forest, 0.0).collect() == docs.collect()

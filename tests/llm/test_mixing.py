@@ -3,6 +3,7 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone.llm import mixing as mx
 
@@ -94,3 +95,38 @@ def test_edge_rows(spark):
         mx.mix(docs, {"a": [1]}, [0.0, 1.0], [1, 1]).count()
     with pytest.raises(ValueError):
         mx.mix(docs, {}, [0.0, 0.5], [1, 1]).count()
+
+
+def test_null_and_empty_sources_differ_and_unmet_demand_is_told(spark):
+    """Thirty documents of no source get the default weight, not that of the empty name; what the passes don't give is
+    reported by source, and without a limit on them nothing is missing."""
+    rows = [(i, None, "y" * 40) for i in range(30)] + [(100 + i, "", "y" * 40) for i in range(30)] + [(200, "a", "y" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    args = {"": [9, 9]}, [0.0, 1.0], [1, 1]
+    got = mx.mix(docs, *args).collect()
+    total = 61 * 10
+    have = {s: sum(r["_tokens"] for r in got if r["source"] == s) for s in (None, "", "a")}
+    assert abs(have[None] - total / 11) <= 10 and have[""] == 500 and have["a"] == 40
+    told = {r["source"]: r for r in mx.unmet_demand(docs, *args).collect()}
+    assert told[None]["unmet"] == told[""]["unmet"] == 0 and abs(told["a"]["unmet"] - (total / 11 - 40)) < 1e-6 and told["a"]["supply"] == 10
+    every = mx.mix(docs, *args, max_epochs=None).collect()
+    assert sum(r["_tokens"] for r in every if r["source"] == "a") == 60 and max(r["_epoch"] for r in every) == 5
+    assert all(r["unmet"] == 0 for r in mx.unmet_demand(docs, *args, max_epochs=None).collect()) and mx.unmet_demand(docs.limit(0), *args).count() == 0
+
+
+def test_any_names_and_many_null_ids(spark):
+    rows = [(None, "a", "y" * (i % 97 * 4), i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, `a.b` int").withColumn("c`d", F.lit(1))
+    got = mx.mix(docs, {}, [0.0, 1.0], [1, 1])
+    assert got.columns[:5] == ["doc_id", "source", "text", "a.b", "c`d"] and sorted(r["a.b"] for r in got.collect()) == list(range(400))
+    first = [r["a.b"] for r in got.collect()]
+    assert len({x % 97 for x in first[:40]}) > 8  # not one bucket in the order of the ids
+
+
+def test_sql_without_a_limit_on_passes(spark, data):
+    from tests.oracle import duck_rows, spark_rows
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for passes in (4, 2, None):
+        mixed = mx.mix(docs, max_epochs=passes).select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_position").alias("position"))
+        assert spark_rows(mixed) == duck_rows(mx.duck_sql(max_epochs=passes), data)

@@ -108,3 +108,12 @@ def test_documents_with_null_and_empty_texts(spark):
     packed = pk.pack_documents(docs, 4096).collect()
     assert sum(r["n_tokens"] for r in packed) == sum(counts.values())
     assert pk.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_are_spread_over_groups(spark):
+    """40,000 rows without an id, or of one id, of one length: as many groups as any other rows would have."""
+    for doc in (None, 7):
+        rows = spark.range(40_000).selectExpr(f"cast({doc or 'null'} as bigint) doc_id", "3L n_tokens")
+        bins = pk.pack(rows, capacity=30)
+        groups = bins.groupBy("pack_group").agg({"n_tokens": "sum"}).collect()
+        assert len(groups) == 5 and max(r[1] for r in groups) < 3 * 10_000 and sum(r[1] for r in groups) == 120_000

@@ -140,3 +140,15 @@ def test_packing_follows_training_order(spark, tmp_path):
             ranges.setdefault(r["pack_group"], []).extend(at[p["doc_id"]] for p in r["pieces"] if p["doc_id"] in at)
         ends = [(min(v), max(v)) for _, v in sorted(ranges.items()) if v]
         assert len(ends) > 5 and all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_stages_keep_columns_with_dots(spark, tmp_path):
+    text = "Plain words make a quiet sentence here, and another one follows it in due course, number {} {} {}."
+    docs = spark.createDataFrame([(i, text.format(i, i * 31, i * 77), "en", f"src{i % 3}", 1, i) for i in range(40)], "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` int")
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "packed":
+            assert docs.columns[-1] == "a.b" and all(r["a.b"] == r["doc_id"] for r in docs.collect())
+    assert docs.count() > 0

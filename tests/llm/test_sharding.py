@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomstone.llm import sharding as sh
 
@@ -51,3 +52,12 @@ def test_each_shard_is_one_partition(spark):
     assert len(parts) == 5 and all({r["shard"] for r in p} == {i} for i, p in enumerate(parts))
     moved = sh.reshard(df, "doc_id", 5, 6).collect()
     assert all(r["new_shard"] == 5 for r in moved) and 100 < len(moved) < 240
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, "x", 2), (None, "y", 3), (1, "x", 2)], "`doc.id` bigint, `a.b` string, _found int").withColumn("c`d", F.lit(1))
+    got = sh.assign(df, "doc.id", [8, 12])
+    assert got.columns == ["doc.id", "a.b", "_found", "c`d", "shard_8", "shard_12"] and got.count() == 3
+    assert sh.sharded(df, "doc.id", 4).select("shard").distinct().count() <= 2
+    moved = sh.reshard(df, "doc.id", 2, 9)
+    assert moved.columns == ["doc.id", "shard", "new_shard"] and sh.reshard(df, "doc.id", 5, 5).count() == 0
