@@ -10,16 +10,17 @@ from __future__ import annotations
 import heapq
 import json
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.hashing import byte_values
-
 SPECIAL = tuple(f"<|{name}|>" for name in ("bos", "eos", "pad", "im_start", "im_end"))
 Pair = tuple[int, int]
 
@@ -46,20 +47,38 @@ def pretoken_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(pretokens()).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("cnt"))
 
 
-def pair_counts(counts: DataFrame) -> DataFrame:
-    """(a, b, cnt): adjacent bytes of the chunks, overlapping occurrences counted, weighted by the chunk's count."""
-    return byte_pairs(counts).select("cnt", F.explode("pairs").alias("p")).groupBy("p.a", "p.b").agg(F.sum("cnt").alias("cnt"))
+def _pairs(counts: DataFrame, distinct: bool) -> DataFrame:
+    """(a, b, n) summed over each task's chunks: adjacent bytes, weighted by the chunk's count or once for each chunk."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                part = batch.slice(s, 2048)
+                raw = [c.encode("utf-8", "surrogatepass") for c in part.column(0).to_pylist()]
+                size = np.fromiter(map(len, raw), np.int64, len(raw))
+                data, chunk = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64), np.repeat(np.arange(len(raw)), size)
+                same = chunk[1:] == chunk[:-1]
+                pair, chunk = (data[:-1] * 256 + data[1:])[same], chunk[1:][same]
+                if distinct:
+                    total += np.bincount(np.unique(chunk * 65536 + pair) % 65536, minlength=1 << 16)
+                else:
+                    np.add.at(total, pair, part.column(1).to_numpy()[chunk])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((seen // 256).astype(np.int32)), pa.array((seen % 256).astype(np.int32)), pa.array(total[seen])], names=["a", "b", "n"])
 
+    return counts.where("chunk IS NOT NULL").select("chunk", "cnt").mapInArrow(added, "a int, b int, n bigint")
 
-def byte_pairs(counts: DataFrame) -> DataFrame:
-    """The columns of counts and `pairs`, adjacent bytes of the chunk in order; chunks of one byte are left out."""
-    raw = counts.withColumn("x", F.expr(byte_values("chunk"))).where("size(x) > 1")
-    return raw.select(*counts.columns, F.expr("zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1), (a, b) -> struct(a, b))").alias("pairs"))
+
+def pair_counts(counts: DataFrame) -> DataFrame:
+    """(a, b, cnt): adjacent bytes of the chunks, overlapping occurrences counted, weighted by the chunk's count. A task
+    adds its chunks up before the shuffle, so no more than 65,536 rows leave it."""
+    return _pairs(counts, distinct=False).groupBy("a", "b").agg(F.sum("n").alias("cnt"))
 
 
 def pair_index(counts: DataFrame) -> DataFrame:
     """(a, b, words): how many distinct chunks hold each pair, the inverted index by size."""
-    return byte_pairs(counts).select(F.explode(F.array_distinct("pairs")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("words"))
+    return _pairs(counts, distinct=True).groupBy("a", "b").agg(F.sum("n").alias("words"))
 
 
 @dataclass
@@ -183,9 +202,15 @@ def learn(counts: dict[str, int], vocab_size: int, special: tuple[str, ...] = SP
     return Bpe(merges, special)
 
 
-def train(docs: DataFrame, vocab_size: int, special: tuple[str, ...] = SPECIAL) -> Bpe:
-    """Distinct pretokens and counts come to the driver (the corpus doesn't)."""
-    return learn({r["chunk"]: r["cnt"] for r in pretoken_counts(docs).toLocalIterator()}, vocab_size, special)
+def train(docs: DataFrame, vocab_size: int, special: tuple[str, ...] = SPECIAL, max_chunks: int = 20_000_000) -> Bpe:
+    """Distinct pretokens and counts come to the driver (the corpus doesn't). They are counted first: more than
+    `max_chunks` of them are an error rather than a driver out of memory or a vocabulary of a part of the corpus."""
+    from loomstone.operators.lineage import cut
+
+    counts = cut(pretoken_counts(docs))
+    if (n := counts.count()) > max_chunks:
+        raise ValueError(f"{n} distinct pretokens; max_chunks is {max_chunks}")
+    return learn({r["chunk"]: r["cnt"] for r in counts.toLocalIterator()}, vocab_size, special)
 
 
 def encode_documents(docs: DataFrame, bpe: Bpe, key: str = "doc_id", eos: bool = True) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the session's spark.checkpoint.dir, which all executors share, and reads on from there. A temporary
-    folder is used only where none is set, as in tests."""
+    folder is used only where none is set, as in tests, and in local mode only."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomstone-"))
     return df.checkpoint()

@@ -1,7 +1,7 @@
 """MinHash banding and the greedy first-come duplicate filter.
 
-Two signatures: `native_signatures` uses 28-bit hashes in LONG arithmetic and stays in the JVM (comparable with SQL);
-`exact_band_keys` uses BLAKE2b and permutations modulo 2^61 - 1, vectorised with 31-bit limbs in an Arrow UDF.
+Two signatures: `native_signatures` uses 28-bit hashes, whose products fit 64 bits (comparable with SQL); `exact_band_keys` uses BLAKE2b and permutations modulo 2^61 - 1, vectorised with 31-bit limbs. All grams of a document are in its row, so both take the
+minima there, in Arrow batches: no row for each gram, and no shuffle.
 
 The filter keeps a document iff no earlier kept document shares a (band, key): dropped documents don't register their
 keys, so of a chain A~B~C both A and C stay. As a set operation that is the lexicographically first maximal
@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions import text as tx
-from loomstone.functions.hashing import md5_28
 from loomstone.operators.lineage import cut
 
 PERMUTATIONS, BANDS, GRAM, SEED = 64, 8, 5, 42
@@ -34,13 +34,32 @@ def permutations(n: int = PERMUTATIONS, modulus: int = MERSENNE61, seed: int = S
     return out
 
 
+def gram_hashes28(text: str) -> np.ndarray:
+    """The first 28 bits of the MD5 of each distinct gram."""
+    grams = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+    raw = b"".join([hashlib.md5(g.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:4] for g in grams])
+    return np.frombuffer(raw, dtype=">u4").astype(np.int64) >> 4
+
+
 def native_signatures(docs: DataFrame, n: int = PERMUTATIONS) -> DataFrame:
-    """(doc_id, h0..hn-1): minima of (a * h + b) mod 2^31 - 1 over the 28-bit hashes of the text's distinct 5-grams;
-    zeros for texts without a gram, which so are duplicates of each other. Grams are hashed once; the minima are
-    partial aggregates before the shuffle."""
-    grams = docs.select("doc_id", F.explode_outer(tx.shingles("text", GRAM)).alias("g")).select("doc_id", md5_28("g").alias("h"))
-    minima = [F.coalesce(F.min((F.lit(a) * F.col("h") + F.lit(b)) % MERSENNE31), F.lit(0)).alias(f"h{i}") for i, (a, b) in enumerate(permutations(n, MERSENNE31))]
-    return grams.groupBy("doc_id").agg(*minima)
+    """(doc_id, h0..hn-1) for every row: minima of (a * h + b) mod 2^31 - 1 over the 28-bit hashes of the text's distinct
+    5-grams; zeros for texts without a gram (null ones among them), which so are duplicates of each other."""
+    factor, shift = np.array(permutations(n, MERSENNE31), dtype=np.int64).T[:, :, None]
+
+    def minima(text: str | None) -> np.ndarray:
+        h = gram_hashes28(text or "")
+        parts = [((factor * h[s : s + 4096] + shift) % MERSENNE31).min(axis=1) for s in range(0, len(h), 4096)]
+        return np.min(parts, axis=0) if parts else np.zeros(n, dtype=np.int64)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                found = np.stack([minima(t) for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[:, i]) for i in range(n))], names=["doc_id", *(f"h{i}" for i in range(n))])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"h{i} bigint" for i in range(n))
+    return docs.select("doc_id", "text").mapInArrow(signed, schema)
 
 
 def native_bands(signatures: DataFrame, bands: int = BANDS, n: int = PERMUTATIONS) -> DataFrame:

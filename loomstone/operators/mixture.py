@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.operators.lineage import cut
@@ -50,7 +50,8 @@ def repeated(docs: DataFrame, mix: DataFrame) -> DataFrame:
 
 def turns(docs: DataFrame, order: list[str]) -> DataFrame:
     """`rn`: the turn at which a document comes up in its source. The joint order is (rn, source_idx)."""
-    return docs.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
+    numbered = global_running_sum(docs.withColumn("_one", F.lit(1)), order, "_one", "rn", inclusive=True, keys=["source"])
+    return numbered.drop("_one").withColumn("rn", F.col("rn").cast("int"))
 
 
 def passes_quality(keep: Column, score: Column) -> Column:
@@ -60,8 +61,7 @@ def passes_quality(keep: Column, score: Column) -> Column:
 
 def within_budget(docs: DataFrame, target: int, order: list[str]) -> DataFrame:
     """Documents admitted while their source's earlier kept tokens are below int(target * ratio); the last may overshoot."""
-    earlier = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = docs.withColumn("spent", F.coalesce(F.sum("n_tok").over(earlier), F.lit(0)))
+    spent = global_running_sum(docs, order, "n_tok", "spent", keys=["source"])
     return spent.where(F.col("spent") < F.floor(F.lit(target) * F.col("ratio")))
 
 
@@ -77,14 +77,13 @@ def unique_within_budget(docs: DataFrame, bands: DataFrame, target: int, max_rou
 
     docs, bands = cut(docs), cut(bands)
     digest = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("ord"))).first())
-    earlier = Window.partitionBy("source").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     free = docs.select("ord").join(bands, "ord", "left_anti")
     read, before = docs.select("ord"), None
     for _ in range(max_rounds):
         kept = greedy_keep(bands.join(read, "ord", "left_semi"), "ord").unionByName(free.join(read, "ord", "left_semi"))
         marked = docs.join(kept.withColumn("kept", F.lit(True)), "ord", "left")
-        spent = F.coalesce(F.sum(F.when(F.col("kept"), F.col("n_tok"))).over(earlier), F.lit(0))
-        marked = cut(marked.withColumn("spent", spent).where(F.col("spent") < F.floor(F.lit(target) * F.col("ratio"))))
+        marked = marked.withColumn("_n", F.when(F.col("kept"), F.col("n_tok")).otherwise(0))
+        marked = cut(global_running_sum(marked, ["ord"], "_n", "spent", keys=["source"]).where(F.col("spent") < F.floor(F.lit(target) * F.col("ratio"))))
         read = marked.select("ord")
         if (after := digest(read)) == before:
             return marked.where("kept").select(docs.columns)
@@ -100,5 +99,4 @@ def validation_prefix(docs: DataFrame, target: int, ratio: float, order: list[st
 
 def byte_budget(docs: DataFrame, budget: int, order: list[str], size: Column) -> DataFrame:
     """Documents of each source up to and with the one that reaches `budget` bytes."""
-    earlier = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return docs.withColumn("_n", size).withColumn("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_b") < budget).drop("_n", "_b")
+    return global_running_sum(docs.withColumn("_n", size), order, "_n", "_b", keys=["source"]).where(F.col("_b") < budget).drop("_n", "_b")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
 from loomstone.functions.hashing import seeded_order
 from loomstone.operators import mixture as mx
+from loomstone.operators.prefix import global_running_sum
 from loomstone.plans.registry import query
 from loomstone.sources.tables import table
 
@@ -108,8 +109,6 @@ def skip_take(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shuffled_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded full shuffle, then the first max(64, n // 100) rows are held out. The rank is a global running sum."""
-    from loomstone.operators.prefix import global_running_sum
-
     docs = table(spark, sf_dir, "documents").select("doc_id", seeded_order("42", "doc_id").alias("h"), F.lit(1).alias("one"))
     ranked = global_running_sum(docs, ["h", "doc_id"], "one", "rn", inclusive=True)
     n = docs.agg(F.count("*").alias("n"))
@@ -125,7 +124,8 @@ def epoch_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded permutation of the labelled rows for each epoch."""
     rows = table(spark, sf_dir, "labels").select("doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(2))))
     key = F.md5(F.concat(F.col("epoch").cast("string"), F.lit(":"), F.col("doc_id").cast("string")))
-    return rows.select("epoch", "doc_id", F.row_number().over(Window.partitionBy("epoch").orderBy(key, "doc_id")).alias("pos"))
+    numbered = global_running_sum(rows.withColumn("h", key).withColumn("one", F.lit(1)), ["h", "doc_id"], "one", "pos", inclusive=True, keys=["epoch"])
+    return numbered.select("epoch", "doc_id", F.col("pos").cast("int").alias("pos"))
 
 
 @query("SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark UNION ALL SELECT 'turn', conv_id, text FROM conversations")

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
 from loomstone.operators import minhash as mh
+from loomstone.operators.lineage import cut
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a stream's state under spark.checkpoint.dir; a temporary one where that isn't set."""
+    """A fresh folder for a stream's state under spark.checkpoint.dir; a temporary one where that isn't set, in local
+    mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"loomstone-{name}-")
     return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
 
@@ -56,7 +60,7 @@ class DuplicateFilter:
         return self.spark.read.parquet(self.keys).where(F.col("batch") < batch_id)
 
     def __call__(self, docs: DataFrame, batch_id: int) -> None:
-        bands = mh.exact_band_keys(docs)
+        bands = cut(mh.exact_band_keys(docs))  # the signatures are computed once
         known = self._before(batch_id)
         if known is not None:
             hit = bands.join(known.select("band", "key").distinct(), ["band", "key"], "left_semi").select("doc_id").distinct()
@@ -65,7 +69,7 @@ class DuplicateFilter:
             kept = bands.select("doc_id")
         else:
             kept = mh.greedy_keep(bands)
-        kept.coalesce(1).write.mode("overwrite").parquet(f"{self.kept}/batch={batch_id}")
+        kept.write.mode("overwrite").parquet(f"{self.kept}/batch={batch_id}")
         bands.join(kept, "doc_id", "left_semi").select("band", "key").write.mode("overwrite").parquet(f"{self.keys}/batch={batch_id}")
 
     def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
