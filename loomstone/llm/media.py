@@ -13,6 +13,7 @@ to the store.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import cut, slices
+from loomstone.llm.common import shared_dir, slices
 
 GEAR = np.array([int.from_bytes(hashlib.sha256(b"gear" + bytes([i])).digest()[:4], "little") for i in range(256)], dtype=np.uint32)
 SPAN = 32
@@ -100,7 +101,7 @@ def manifests(df: DataFrame, key: str, payload: str, sizes: tuple[int, int, int]
     return rows.mapInArrow(listed, f"id {kind}, n_bytes bigint, sha256 binary, chunks {CHUNKS}")
 
 
-def dictionary(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES, samples: int = 1500, size: int = 64 << 10) -> bytes | None:
+def dictionary(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES, samples: int = 1500, size: int = 110 << 10) -> bytes | None:
     """A compression dictionary of `size` bytes, trained on at most `samples` chunks, one of each of the payloads with the
     smallest hashes. It decides how small a store is, not what is in it. None where the payloads are too few or too
     short to train one."""
@@ -120,7 +121,7 @@ def dictionary(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES,
         return None
 
 
-def chunk_store(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES, level: int = 6, book: bytes | None = None) -> DataFrame:
+def chunk_store(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES, level: int = 12, book: bytes | None = None) -> DataFrame:
     """(digest, packed): each distinct chunk once, compressed, with the dictionary `book` if there is one. A task sends a
     chunk only once; one shuffle by digest leaves one row for each. A null or empty payload has no chunks, repeated
     chunks are one row, an empty table gives none. Other columns aren't read."""
@@ -193,7 +194,9 @@ def deduplicate(df: DataFrame, key: str, payload: str, sizes: tuple[int, int, in
     null payload (restored is null); key may be null or repeated; columns other than key and payload aren't read; an
     empty table gives no rows. The lists are written once; payloads are read for them, for the store and, a sample, for
     its dictionary."""
-    lists = cut(manifests(df, key, payload, sizes))
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lists-{uuid.uuid4().hex}"
+    manifests(df, key, payload, sizes).write.parquet(path)
+    lists = df.sparkSession.read.parquet(path)
     book = dictionary(df, payload, sizes)
     checked = restore(lists, chunk_store(df, payload, sizes, book=book), with_payload=False, book=book).select("sha256", "restored")
     return lists.join(checked, "sha256", "left").select(F.col("id").alias(key), "n_bytes", "sha256", "chunks", "restored")
