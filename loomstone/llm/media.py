@@ -121,7 +121,7 @@ def dictionary(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES,
         return None
 
 
-def chunk_store(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES, level: int = 12, book: bytes | None = None) -> DataFrame:
+def chunk_store(df: DataFrame, payload: str, sizes: tuple[int, int, int] = SIZES, level: int = 19, book: bytes | None = None) -> DataFrame:
     """(digest, packed): each distinct chunk once, compressed, with the dictionary `book` if there is one. A task sends a
     chunk only once; one shuffle by digest leaves one row for each. A null or empty payload has no chunks, repeated
     chunks are one row, an empty table gives none. Other columns aren't read."""
