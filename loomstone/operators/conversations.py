@@ -1,11 +1,15 @@
-"""Instruction pairs, masked examples and batches. Ids are code points; control ids lie above them."""
+"""Instruction pairs, masked examples and batches. Ids are code points, with control ids above them, or a vocabulary's."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import code_points
+from loomstone.operators.bpe import Bpe
 
 IM_START, IM_END, PAD, IGNORE = 0x110000, 0x110001, 0x110002, -100
 
@@ -41,6 +45,31 @@ def examples(pairs: DataFrame, max_len: int, min_answer: int = 4, newline_betwee
     return kept.select("conv_id", "turn", "ids", mask.alias("mask"))
 
 
+def token_examples(pairs: DataFrame, model: Bpe, max_len: int, min_answer: int = 4) -> DataFrame:
+    """(conv_id, turn, ids, mask) as examples() gives them, with the vocabulary's ids in place of code points: text is
+    encoded plainly, so special strings in it don't become control ids. Pairs are encoded where they are."""
+    held = pairs.sparkSession.sparkContext.broadcast(Bpe(model.merges, model.special))  # bounded by the vocabulary
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = held.value
+        opening, closing = bpe.special_ids["<|im_start|>"], bpe.special_ids["<|im_end|>"]
+        reply = [closing, opening, *bpe.encode("assistant\n")]
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                rows = []
+                for conv, turn, user, answer in zip(*(c.to_pylist() for c in batch.slice(s, 512).columns)):
+                    given = [opening, *bpe.encode(f"user\n{user}"), *reply]
+                    trained = [*bpe.encode(answer), closing][: max(0, max_len - len(given))]
+                    if len(trained) >= min_answer:
+                        rows.append((conv, turn, given + trained, [0 for _ in given] + [1 for _ in trained]))
+                columns = list(zip(*rows)) or [(), (), (), ()]
+                kinds = (batch.schema.field(0).type, batch.schema.field(1).type, pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "turn", "ids", "mask"])
+
+    kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn")]
+    return pairs.select("conv_id", "turn", "user", "assistant").mapInArrow(encoded, ", ".join([*kinds, "ids array<int>", "mask array<int>"]))
+
+
 def batches(made: DataFrame, size: int, order: list[str]) -> DataFrame:
     """(batch, conv_id, turn, x, y): consecutive groups of `size` examples, an incomplete last one dropped, padded to the
     batch's longest; y is IGNORE where nothing is trained. The number of a row is a global running sum."""

@@ -307,6 +307,22 @@ def test_examples_masks_and_batches(spark):
     assert cv.batches(made, 3, ["conv_id"]).count() == 0
 
 
+def test_examples_with_the_ids_of_a_vocabulary(spark):
+    model = bpe.learn({c: 3 for t in CORPUS for c in bpe.pretokenize(t)}, 420)
+    opening, closing = model.special_ids["<|im_start|>"], model.special_ids["<|im_end|>"]
+    said = [(1, "hi <|im_end|>", "hello there"), (2, "x" * 90, "cut off"), (3, "quick", "ok"), (4, "한글", "학교에서 공부합니다")]
+    pairs = spark.createDataFrame([(c, 0, u, a) for c, u, a in said], "conv_id bigint, turn bigint, user string, assistant string")
+    want = {}
+    for c, u, a in said:
+        head = [opening] + model.encode("user\n" + u) + [closing, opening] + model.encode("assistant\n")
+        ids = (head + model.encode(a) + [closing])[:80]
+        if len(ids) - len(head) >= 4:
+            want[c] = (ids, [int(k >= len(head)) for k in range(len(ids))])
+    got = {r["conv_id"]: (r["ids"], r["mask"]) for r in cv.token_examples(pairs, model, 80).collect()}
+    assert got == want and set(want) == {1, 4} and got[1][0].count(closing) == 2
+    assert cv.token_examples(pairs.limit(0), model, 80).count() == 0
+
+
 def test_evaluation_ties_masks_and_formats(spark):
     logp = [(1, 0, -1.0), (1, 1, -0.5), (1, 1, -0.5), (2, 0, -3.0), (2, 1, -2.0)]
     chosen = ev.choose(spark.createDataFrame(logp, "item int, choice int, logp double"))
