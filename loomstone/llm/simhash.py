@@ -4,22 +4,22 @@ Fingerprint: the distinct lower-case words of the whole text vote on 256 bits (f
 bits of its 64-bit hash mixed four ways. Two texts that differ in a few per cent of their words differ in a few per
 cent of the bits.
 
-Candidates: for each block, non-zero vectors m(i) of GF(2)^(r+1) are given to its 64 bit positions, each as often as any
-other; table v (each non-zero v) masks the positions with <m(i), v> = 1, which so are half of them, 32 or 33, in every
-table: no table has short keys in which unrelated fingerprints pile up. Positions in which two blocks differ, if at most r, span at most r
-dimensions, so some v is orthogonal to all of them and that table's masked blocks are equal: a pair within r in a
-block always collides. With 4 blocks and r = 5 every pair within 4 * 6 - 1 = 23 of the 256 bits is within 5 in some
-block by the pigeonhole principle, hence collides in one of the 4 * 63 tables. Pairs further apart collide with a
-probability that falls with their distance: about 0.99 at 28 bits, 0.95 at 33, 0.8 at 38. For these there is a second
-family of `samples` tables, whose keys are bits drawn at random from all 256. The number of bits follows the number of
-fingerprints, so that unrelated ones rarely share a key: 24 bits for 260,000, with which 0.88 of the pairs at 40 bits
-collide in one of 128 such tables, independently of the first family. All keys are hashed with their table's number; a
-row of the shuffle holds the entries of some thousand fingerprints that go to the same partition, 6 bytes for a key and
-the bytes of an id each.
-
-Colliding fingerprints are verified on all 256 bits: up to `accept` differing bits they are joined. A bucket is searched
-breadth first, so that all its links are followed without writing all its pairs; connected components of the links are
-the groups, and the smallest doc_id of a group stays.
+Candidates: the 256 bits are cut into blocks with radii r such that the sum of all r + 1 is accept + 1 (for 40: five blocks
+of radius 6, one of 5). By the pigeonhole principle two fingerprints within `accept` bits differ in at most r positions of
+some block. Non-zero vectors m(i) of GF(2)^(r+1) are given to a block's positions, each about as often as any other; table v
+(each non-zero v) looks at the positions with <m(i), v> = 1, about half of them. Positions in which two blocks differ, if at
+most r, span at most r dimensions, so some v is orthogonal to all of them and that table sees equal bits. So every pair
+within `accept` shares a key in one of the 5 * 127 + 63 tables, and none is left to chance.
+
+Search: fingerprints are dealt into groups of about `held`, and each pair of groups is searched table by table, by tasks
+that hold both groups and sort their keys. No bucket is capped: those of up to SMALL members are compared pair by pair,
+larger ones breadth first, where members already joined come along without a comparison. Pairs of up to `accept` differing
+bits are links; a task sends those that join two of its components. The work grows as the square of the fingerprints
+over 2^21, the bits that a table sees. Connected components of the links are the groups, and the smallest doc_id of a group
+stays.
+
+links() is an older search, which no query uses: its work grows in proportion to the fingerprints, but only pairs within
+BLOCKS * (radius + 1) - 1 bits are guaranteed, and others found with a probability that falls with their distance.
 """
 
 from __future__ import annotations
@@ -90,7 +90,8 @@ def sample_masks(samples: int, bits: int, seed: int = 1) -> np.ndarray:
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of (.., 4) uint64 fingerprints."""
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    bits = np.bitwise_count(a ^ b)
+    return sum(bits[..., k].astype(np.int64) for k in range(BLOCKS))
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -253,6 +254,156 @@ def links(reps: DataFrame, radius: int = 5, accept: int = 40, samples: int = 128
     return signed.repartition("bucket").mapInArrow(_verify(accept), "a bigint, b bigint, bits int").distinct()
 
 
+SMALL = 64  # members of a bucket whose pairs are all compared
+
+
+def _even_vectors(dims: int, width: int, seed: int, rounds: int = 4000) -> np.ndarray:
+    """(tables, width): whether a table sees a position, for `width` vectors of GF(2)^dims. One at a time is exchanged where
+    that brings the tables with the fewest bits, in which unrelated fingerprints pile up, closer to the others."""
+    rng, n = np.random.default_rng(seed), 2**dims - 1
+    sees = (np.bitwise_count(np.arange(1, n + 1)[:, None] & np.arange(1, n + 1)[None]) & 1).astype(np.int64)
+    chosen = np.resize(rng.permutation(n), width)
+    size = sees[:, chosen].sum(axis=1)
+    cost = np.exp2(-size).sum()
+    for at, new in zip(rng.integers(0, width, rounds).tolist(), rng.integers(0, n, rounds).tolist()):
+        other = size - sees[:, chosen[at]] + sees[:, new]
+        if (c := np.exp2(-other).sum()) < cost:
+            chosen[at], size, cost = new, other, c
+    return sees[:, chosen].astype(bool)
+
+
+def exact_masks(accept: int, radius: int) -> np.ndarray:
+    """(tables, 4) masks of which one at least sees no difference between any two fingerprints within `accept` bits."""
+    n = -(-(accept + 1) // (radius + 1))
+    radii = [(accept + 1) // n - 1 + (k < (accept + 1) % n) for k in range(n)]
+    ends = np.round(np.cumsum([r + 1 for r in radii]) / (accept + 1) * BLOCKS * WIDTH).astype(int).tolist()
+    masks = []
+    for r, start, end in zip(radii, [0, *ends], ends):
+        for table in _even_vectors(r + 1, end - start, seed=start):
+            bits = np.zeros(BLOCKS * WIDTH, dtype=bool)
+            bits[start:end] = table
+            masks.append(np.packbits(bits, bitorder="little").view("<u8"))
+    return np.array(masks, dtype=np.uint64)
+
+
+def _large_bucket(at: np.ndarray, fp: np.ndarray, label: np.ndarray, accept: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Links (rows, rows, distances) that, with what the labels have joined, connect all pairs within `accept` of the rows
+    `at`: breadth first, some reached rows against all not yet reached at a time."""
+    left, queue = at, at[:0]
+    while len(left):
+        if not len(queue):
+            mine = label[left] == label[left[0]]
+            queue, left = left[mine], left[~mine]
+            continue
+        k = max(1, (1 << 18) // len(left))
+        some, queue = queue[:k], queue[k:]
+        d = distance(fp[some][:, None], fp[left][None])
+        hit = np.flatnonzero((d <= accept).any(axis=0))
+        if len(hit):
+            of = (d[:, hit] <= accept).argmax(axis=0)
+            yield some[of], left[hit], d[of, hit]
+            reached = np.isin(label[left], label[left[hit]])
+            queue, left = np.concatenate([queue, left[reached]]), left[~reached]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Joins the labels of linked rows; those of the links that form a tree with what was joined before."""
+    while True:
+        differ = label[a] != label[b]
+        a, b, d = a[differ], b[differ], d[differ]
+        if not len(a):
+            return
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        _, first = np.unique(high, return_index=True)
+        yield a[first], b[first], d[first]
+        parent = np.arange(len(label), dtype=label.dtype)
+        parent[high[first]] = low[first]
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        label[:] = parent[label]
+
+
+def near_pairs(fp: np.ndarray, masks: np.ndarray, accept: int, side: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Links (rows, rows, distances): a forest that connects every two fingerprints within `accept` bits that share a key in
+    one of the tables. With `side`, the pairs of one side need not be connected."""
+    n = len(fp)
+    word = [np.ascontiguousarray(fp[:, k]) for k in range(BLOCKS)]
+    number, label = np.arange(n, dtype=np.uint64), np.arange(n, dtype=np.int32)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for mask in masks:
+        with np.errstate(over="ignore"):
+            key = sum((word[k] & mask[k]) * _MIX[k] for k in range(BLOCKS) if mask[k])
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        key = np.sort(key >> np.uint64(32) << np.uint64(32) | number)  # by key, then row: faster than argsort
+        row, key = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32)
+        same = np.zeros(n, dtype=bool)
+        same[:-1] = key[1:] == key[:-1]
+        starts, sizes = _runs(key)
+        links = []
+        for s, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            same[s : s + size] = False
+            links += _large_bucket(row[s : s + size], fp, label, accept)
+        at, step = np.flatnonzero(same), 1
+        w0, w1 = word[0][row], word[1][row]
+        while len(at):
+            half = np.bitwise_count(w0[at] ^ w0[at + step]) + np.bitwise_count(w1[at] ^ w1[at + step])
+            maybe = at[half <= accept]
+            a, b = row[maybe], row[maybe + step]
+            if side is not None:
+                across = side[a] != side[b]
+                a, b = a[across], b[across]
+            d = distance(fp[a], fp[b])
+            links.append((a[d <= accept], b[d <= accept], d[d <= accept]))
+            step += 1
+            at = at[same[at + step - 1]]  # equal so far, and the next one too
+        if links:
+            found += _joined(label, *map(np.concatenate, zip(*links)))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def all_links(reps: DataFrame, radius: int = 6, accept: int = 40, held: int = 1 << 20) -> DataFrame:
+    """(a, b, bits): links between representatives that connect every pair within `accept` bits, each of at most that many.
+
+    `radius` is the largest of a block and `held` the number of fingerprints in a group; neither changes what is connected.
+    Fingerprints go to as many tasks as there are groups, times the number of shares in which the tables are searched."""
+    groups = max(1, -(-reps.count() // held))
+    shares = -(-24 // groups)
+    masks = exact_masks(accept, radius)
+    pairs = {pair: k for k, pair in enumerate((i, j) for j in range(groups) for i in range(j + 1))}
+    parts = [[pairs[min(g, h), max(g, h)] * shares + s for h in range(groups) for s in range(shares)] for g in range(groups)]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep = batch.column(0).to_numpy().astype(np.int64)
+            fp = np.stack([batch.column(1 + k).to_numpy() for k in range(BLOCKS)], axis=1).astype(np.int64)
+            group = ((_spread(rep.view(np.uint64))[:, 0] >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+            rows = [(parts[g], g, rep[group == g].tobytes(), fp[group == g].tobytes()) for g in np.unique(group).tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary())],
+                names=["parts", "group", "reps", "fps"],
+            )
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_part: dict[int, list[tuple[int, bytes, bytes]]] = {}
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                of_part.setdefault(part, []).append(row)
+        for part in list(of_part):
+            group, rep, fp = zip(*of_part.pop(part))
+            side = np.repeat(np.array(group, dtype=np.int32), [len(r) // 8 for r in rep])
+            rep, fp = np.frombuffer(b"".join(rep), dtype=np.int64), np.frombuffer(b"".join(fp), dtype=np.uint64).reshape(-1, BLOCKS)
+            i, j = list(pairs)[part // shares]
+            if i != j and len(set(group)) == 1:
+                continue  # nothing across
+            a, b, d = near_pairs(fp, masks[part % shares :: shares], accept, side if i != j else None)
+            a, b = rep[a], rep[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], names=["a", "b", "bits"])
+
+    packed = reps.select("rep", *_FP).mapInArrow(dealt, "parts array<int>, group int, reps binary, fps binary")
+    tasks = packed.select(F.explode("parts").alias("part"), "group", "reps", "fps").repartitionById(len(pairs) * shares, F.col("part"))
+    return tasks.mapInArrow(searched, "a bigint, b bigint, bits int").distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest id reachable from each node of the undirected edges (a, b).
 
@@ -277,20 +428,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"connected components didn't settle in {max_rounds} rounds")
 
 
-def duplicates(docs: DataFrame, radius: int = 5, accept: int = 40) -> DataFrame:
-    """(doc_id, group_id): every document with a text and the smallest doc_id of its near-duplicate group.
+def duplicates(docs: DataFrame, radius: int = 6, accept: int = 40) -> DataFrame:
+    """(doc_id, group_id): every document with a text and the smallest doc_id of its near-duplicate group. Groups are the
+    connected components of all pairs within `accept` bits; `radius` changes only how they are searched.
 
     Rows that share a doc_id are one document (its smallest fingerprint counts); rows with a null id or text are in no
     group and give no row; texts without words, the empty text among them, are duplicates only of equal texts; an empty
     table gives no rows. Only doc_id and text are read, so other columns don't matter."""
     signed = cut(sign(docs).groupBy("doc_id").agg(F.min(F.struct(*_FP)).alias("f")).select("doc_id", *(f"f.{f}" for f in _FP)))
     reps = cut(signed.groupBy(*_FP).agg(F.min("doc_id").alias("rep")))
-    root = components(links(reps, radius, accept))
+    root = components(all_links(reps, radius, accept))
     named = reps.join(root, F.col("rep") == F.col("node"), "left").select(*_FP, F.coalesce("root", "rep").alias("group_id"))
     return signed.join(named, _FP).select("doc_id", "group_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 5, accept: int = 40) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 6, accept: int = 40) -> DataFrame:
     """The rows of docs, all columns, without the documents that aren't the first (smallest doc_id) of their group. Rows
     with a null doc_id or a null text stay; rows that share a doc_id stay or go together.
 

@@ -198,3 +198,87 @@ def test_entries_and_buckets_equal_plain_grouping():
             got += [tuple(m) for b in sh._shared_buckets(iter([one])) for m in b.column(0).to_pylist()]
         assert sorted(got) == want and max(rows) < parts
     assert not list(sh._shared_buckets(iter([])))
+
+
+def unseen_pairs(n=20, bits=40):
+    """(doc_id, f0..f3): n fingerprints, each followed by one that differs in `bits` bits, of which each of the tables of
+    links() sees at least one."""
+    masks, flips = np.unpackbits(sh.table_masks(5, 128, 16).view(np.uint8), axis=1, bitorder="little").astype(bool), []
+    while len(masks):
+        flips.append(int(masks.sum(axis=0).argmax()))
+        masks = masks[~masks[:, flips[-1]]]
+    flips += [at for at in range(256) if at not in flips][: bits - len(flips)]
+    assert len(flips) == bits
+    change = np.packbits(np.isin(np.arange(256), flips), bitorder="little").view("<u8")
+    base = np.random.default_rng(21).integers(0, 2**63, (n, 4)).astype(np.uint64)
+    return [(i, *row) for i, row in enumerate(np.stack([base, base ^ change], axis=1).reshape(-1, 4).view(np.int64).tolist())]
+
+
+UNSEEN = "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"
+
+
+def test_groups_hold_every_pair_within_the_accepted_bits(spark, monkeypatch):
+    """Not most of the pairs within 40 bits, as with sampled tables, but each of them; and none beyond."""
+    monkeypatch.setattr(sh, "sign", lambda docs: docs)
+    for bits in (40, 41):
+        got = {r["doc_id"]: r["group_id"] for r in sh.duplicates(spark.createDataFrame(unseen_pairs(bits=bits), UNSEEN)).collect()}
+        assert got == {i: i - (i % 2 if bits == 40 else 0) for i in range(40)}
+
+
+def flipped(fp, rng, n):
+    out = fp.copy()
+    for at in rng.choice(256, n, replace=False).tolist():
+        out[at // 64] ^= np.uint64(1 << at % 64)
+    return out
+
+
+def test_all_links_join_pairs_at_the_last_accepted_bit(spark):
+    """Pairs at 39 to 42 bits, chains, and near copies in a bucket larger than SMALL, in one group of fingerprints and in several."""
+    rng = np.random.default_rng(7)
+    fps = list(rng.integers(0, 2**63, (150, 4)).astype(np.uint64))
+    for i in range(150):
+        fps.append(flipped(fps[i], rng, 39 + i % 4))
+    fps += [flipped(fps[0], rng, 5) for _ in range(100)]
+    fps = np.array(fps)
+    want = brute_groups(fps, 40)
+    reps = spark.createDataFrame([(i, *row) for i, row in enumerate(fps.view(np.int64).tolist())], "rep bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    for held, radius in ((1 << 20, 6), (90, 5)):
+        links = sh.all_links(reps, radius=radius, held=held)
+        found = links.collect()
+        assert all(r["bits"] == sh.distance(fps[r["a"]], fps[r["b"]]) <= 40 and r["a"] < r["b"] for r in found)
+        root = {r["node"]: r["root"] for r in sh.components(links.select("a", "b")).collect()}
+        assert [root.get(i, i) for i in range(len(fps))] == want
+    assert sh.all_links(reps.limit(0)).count() == 0
+
+
+def test_exact_masks_miss_no_difference():
+    rng = np.random.default_rng(8)
+    for accept, radius in ((40, 6), (40, 5), (23, 5), (7, 3), (0, 6)):
+        masks = sh.exact_masks(accept, radius)
+        for _ in range(300):
+            at = rng.choice(256, accept, replace=False) if rng.random() < 0.5 else rng.integers(0, 256) + np.arange(accept)
+            flips = flipped(np.zeros(4, np.uint64), rng, 0)
+            for x in (at % 256).tolist():
+                flips[x // 64] |= np.uint64(1 << x % 64)
+            assert ((masks & flips) == 0).all(axis=1).any()
+    assert len(sh.exact_masks(40, 6)) == 5 * 127 + 63
+
+
+def test_large_buckets_join_like_all_pairs():
+    """One key for all: a cluster, a chain of 40 bits a step, and unrelated fingerprints, some joined before."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, (60, 4)).astype(np.uint64)
+    chain = [base[1]]
+    for _ in range(30):
+        chain.append(flipped(chain[-1], rng, 40))
+    fp = np.array([*base, *chain[1:], *(flipped(base[0], rng, 9) for _ in range(200))])[rng.permutation(290)]
+    want = brute_groups(fp, 40)
+    for masks in (np.zeros((1, 4), np.uint64), np.concatenate([np.full((1, 4), 3, np.uint64), np.zeros((2, 4), np.uint64)])):
+        a, b, d = sh.near_pairs(fp, masks, 40)
+        assert (d == sh.distance(fp[a], fp[b])).all() and (d <= 40).all() and len(a) == sum(i != g for i, g in enumerate(want))
+        parent = list(range(len(fp)))
+        find = lambda i: i if parent[i] == i else find(parent[i])
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+        assert [find(i) for i in range(len(fp))] == want
