@@ -152,3 +152,12 @@ def test_stages_keep_columns_with_dots(spark, tmp_path):
         if name != "packed":
             assert docs.columns[-1] == "a.b" and all(r["a.b"] == r["doc_id"] for r in docs.collect())
     assert docs.count() > 0
+
+
+def test_near_duplicates_drops_all_that_accepted_pairs_join(spark, monkeypatch):
+    """The stage finds pairs at the last accepted bit, also those that share no key in tables of sampled bits."""
+    from tests.llm.test_simhash import UNSEEN, unseen_pairs
+
+    monkeypatch.setattr(simhash, "sign", lambda docs: docs)
+    docs = spark.createDataFrame(unseen_pairs(), UNSEEN)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(0, 40, 2))
