@@ -20,9 +20,10 @@ transitions across borders of blocks like any other.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ class Words:
         """symbols(), and of each word in a bucket its number in `numbers`. New words get the next numbers; `of` has
         their symbols."""
         words = (text or "").split()
-        out = np.array([self.known.get(w, -1) for w in words], dtype=np.int64)
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(out < 0)
         rare = np.empty(len(at), dtype=np.uint32)
         for k, i in enumerate(at.tolist()):
@@ -84,7 +85,7 @@ def word_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
     """(word, n) over all documents. A task adds up words in a table of at most `held` and sends it when full."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: dict[str, int] = {}
+        tally: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], names=["word", "n"])
@@ -93,8 +94,7 @@ def word_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
 
         for batch in slices(batches, 0, 2 << 20):
             for text in batch.column(0).to_pylist():
-                for w in text.split():
-                    tally[w] = tally.get(w, 0) + 1
+                tally.update(text.split())
             if len(tally) > held:
                 yield flush()
         yield flush()
@@ -275,34 +275,37 @@ class Counts:
 
     def collect(self, model: Hmm, sequences: list[np.ndarray], rows: int = 512, stretch: int = 4096) -> None:
         """Adds the expected counts of whole sequences; `stretch` is the length of their blocks and changes no count."""
-        by_symbol, k = np.ascontiguousarray(model.emit.T), len(model.start)
+        k = len(model.start)
         units, firsts, before, after = _surrounded(model, sequences, rows, stretch)
         heads = np.where(firsts[:, None], model.start, before @ model.move)
+        emit, back = np.ascontiguousarray(model.emit), np.ascontiguousarray(model.move.T)
         for numbers, grid, going in _batches(units, rows):
             steps, width = grid.shape
-            alpha, scale = np.zeros((steps, width, k)), np.ones((steps, width))
+            alpha, scale = np.zeros((steps, k, width)), np.ones((steps, width))  # states by rows: long inner loops
             for t in range(steps):
                 a = int(going[t])
-                now = (heads[numbers] if t == 0 else alpha[t - 1, :a] @ model.move) * by_symbol[grid[t, :a]]
-                scale[t, :a] = now.sum(axis=1)
-                alpha[t, :a] = now / scale[t, :a, None]
+                now = (heads[numbers].T if t == 0 else back @ alpha[t - 1, :, :a]) * emit.take(grid[t, :a], axis=1)
+                now.sum(axis=0, out=scale[t, :a])
+                np.divide(now, scale[t, :a], out=alpha[t, :, :a])
             self.log_likelihood += float(np.log(scale).sum())
             sizes = np.array([len(units[i]) for i in numbers])
-            beta = after[numbers] / (alpha[sizes - 1, np.arange(width)] * after[numbers]).sum(axis=1, keepdims=True)
+            beta = np.ascontiguousarray((after[numbers] / (alpha[sizes - 1, :, np.arange(width)] * after[numbers]).sum(axis=1, keepdims=True)).T)
             xi = np.zeros((k, k))
             for t in range(steps - 1, -1, -1):
                 a = int(going[t])
-                ahead = by_symbol[grid[t, :a]] * beta[:a] / scale[t, :a, None]
-                xi += (alpha[t - 1, :a] if t else before[numbers]).T @ ahead
-                alpha[t, :a] *= beta[:a]
+                ahead = emit.take(grid[t, :a], axis=1)
+                ahead *= beta[:, :a]
+                ahead /= scale[t, :a]
+                xi += (alpha[t - 1, :, :a] if t else before[numbers].T) @ ahead.T
+                alpha[t, :, :a] *= beta[:, :a]
                 if t:
-                    beta[:a] = ahead @ model.move.T
-            self.start += alpha[0, firsts[numbers]].sum(axis=0)
+                    beta[:, :a] = model.move @ ahead
+            self.start += alpha[0][:, firsts[numbers]].sum(axis=1)
             self.move += xi * model.move
             live = np.arange(width)[None, :] < going[:, None]
-            seen, weight = grid[live], alpha[live]
+            seen = grid[live].astype(np.int64)
             for s in range(k):
-                self.emit[s] += np.bincount(seen, weight[:, s], self.emit.shape[1])
+                self.emit[s] += np.bincount(seen, alpha[:, s][live], self.emit.shape[1])
 
     def model(self, prior: float = 0.01) -> Hmm:
         share = lambda c: (c + prior) / (c + prior).sum(axis=-1, keepdims=True)
