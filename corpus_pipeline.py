@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of each near-duplicate group one row stays, of the smallest id; rows with repeated or null ids are compared too."""
+    return simhash.keep_first(docs, null_ids=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

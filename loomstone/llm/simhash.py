@@ -15,8 +15,8 @@ Search: fingerprints are dealt into groups of about `held`, and each pair of gro
 that hold both groups and sort their keys. No bucket is capped: those of up to SMALL members are compared pair by pair,
 larger ones breadth first, where members already joined come along without a comparison. Pairs of up to `accept` differing
 bits are links; a task sends those that join two of its components. The work grows as the square of the fingerprints
-over 2^21, the bits that a table sees. Connected components of the links are the groups, and the smallest doc_id of a group
-stays.
+over 2^21, the bits that a table sees. Connected components of the links are the groups, and of a group one row stays, of
+the smallest doc_id.
 
 links() is an older search, which no query uses: its work grows in proportion to the fingerprints, but only pairs within
 BLOCKS * (radius + 1) - 1 bits are guaranteed, and others found with a probability that falls with their distance.
@@ -31,8 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomstone.llm.common import cut, shared_dir, slices
 
@@ -94,16 +95,21 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(bits[..., k].astype(np.int64) for k in range(BLOCKS))
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0..f3) for rows with a text and an id."""
+def _signed(rows: DataFrame) -> DataFrame:
+    """(first column, f0..f3) for rows of two columns, the second a text that isn't null."""
+    name = rows.columns[0]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             fp = fingerprints(batch.column(1).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, b]) for b in range(BLOCKS))], names=["doc_id", *_FP])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, b]) for b in range(BLOCKS))], names=[name, *_FP])
+
+    return rows.mapInArrow(signed, StructType([rows.schema[0], *(StructField(f, LongType()) for f in _FP)]))
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(signed, "doc_id bigint, " + ", ".join(f"{f} bigint" for f in _FP))
+
+def sign(docs: DataFrame) -> DataFrame:
+    """(doc_id, f0..f3) for rows with a text; the id may be null."""
+    return _signed(docs.select(F.col("doc_id").cast("bigint"), "text").where("text IS NOT NULL"))
 
 
 def _runs(*keys: np.ndarray) -> list[np.ndarray]:
@@ -428,6 +434,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"connected components didn't settle in {max_rounds} rounds")
 
 
+def _grouped(reps: DataFrame, radius: int, accept: int) -> DataFrame:
+    """reps with group_id, the smallest rep of each one's connected component of pairs within `accept` bits."""
+    root = components(all_links(reps, radius, accept))
+    return reps.join(root, F.col("rep") == F.col("node"), "left").select(*reps.columns, F.coalesce("root", "rep").alias("group_id"))
+
+
 def duplicates(docs: DataFrame, radius: int = 6, accept: int = 40) -> DataFrame:
     """(doc_id, group_id): every document with a text and the smallest doc_id of its near-duplicate group. Groups are the
     connected components of all pairs within `accept` bits; `radius` changes only how they are searched.
@@ -435,21 +447,51 @@ def duplicates(docs: DataFrame, radius: int = 6, accept: int = 40) -> DataFrame:
     Rows that share a doc_id are one document (its smallest fingerprint counts); rows with a null id or text are in no
     group and give no row; texts without words, the empty text among them, are duplicates only of equal texts; an empty
     table gives no rows. Only doc_id and text are read, so other columns don't matter."""
-    signed = cut(sign(docs).groupBy("doc_id").agg(F.min(F.struct(*_FP)).alias("f")).select("doc_id", *(f"f.{f}" for f in _FP)))
+    signed = sign(docs).where("doc_id IS NOT NULL")
+    signed = cut(signed.groupBy("doc_id").agg(F.min(F.struct(*_FP)).alias("f")).select("doc_id", *(f"f.{f}" for f in _FP)))
     reps = cut(signed.groupBy(*_FP).agg(F.min("doc_id").alias("rep")))
-    root = components(all_links(reps, radius, accept))
-    named = reps.join(root, F.col("rep") == F.col("node"), "left").select(*_FP, F.coalesce("root", "rep").alias("group_id"))
+    named = _grouped(reps, radius, accept).select(*_FP, "group_id")
     return signed.join(named, _FP).select("doc_id", "group_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 6, accept: int = 40) -> DataFrame:
-    """The rows of docs, all columns, without the documents that aren't the first (smallest doc_id) of their group. Rows
-    with a null doc_id or a null text stay; rows that share a doc_id stay or go together.
-
-    The ids to drop are written first: Spark then knows their size, sends them to all tasks if they are below its limit
-    for broadcasts, and joins by a shuffle beyond it."""
-    extra = duplicates(docs, radius, accept).where("doc_id <> group_id").select(F.col("doc_id").alias("_dropped"))
+def _same(a: DataFrame, b: DataFrame) -> list:
+    """Conditions under which rows have the same id, null ones too, and fingerprint."""
+    return [a["doc_id"].eqNullSafe(b["_id"]), *(a[f] == b[f"_{f}"] for f in _FP)]
+
+
+def keep_first(docs: DataFrame, radius: int = 6, accept: int = 40, null_ids: bool = False) -> DataFrame:
+    """The rows of docs, all columns, but of each near-duplicate group only one: of the smallest doc_id, where that has
+    several texts in the group of the smallest fingerprint, where that has several rows of the first as JSON. Groups are the
+    connected components of all pairs of texts within `accept` bits.
+
+    Texts count, not ids: each text of rows that share a doc_id is in a group of its own, and repeated rows are one. Rows
+    with a null text stay, unless all texts of their doc_id go; rows with a null doc_id stay, but with `null_ids` they are in
+    groups too, after all other ids.
+
+    The ids to look at are written first: Spark then knows their size, sends them to all tasks if they are below its limit
+    for broadcasts, and joins by a shuffle beyond it. Only rows of ids of which some rows stay and some go, and those with a
+    null id, are signed again and shuffled."""
+    signed = sign(docs) if null_ids else sign(docs).where("doc_id IS NOT NULL")
+    signed = cut(signed.groupBy("doc_id", *_FP).agg(F.count("*").alias("n")))
+    reps = cut(signed.groupBy(*_FP).agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()))
+    best = F.min(F.struct(F.col("first").isNull().alias("last"), "first", *_FP)).alias("k")
+    kept = _grouped(reps, radius, accept).groupBy("group_id").agg(best)
+    kept = kept.select(F.col("k.first").alias("_id"), *(F.col(f"k.{f}").alias(f"_{f}") for f in _FP), F.lit(1).alias("_one"))
+    # a row for each id of which not all rows stay
+    ids = signed.join(kept, _same(signed, kept), "left").groupBy(F.col("doc_id").alias("_dropped"))
+    ids = ids.agg(F.sum("n").alias("rows"), F.count("_one").alias("stay")).where("rows > stay")
     path = f"{shared_dir(docs.sparkSession).rstrip('/')}/dropped-{uuid.uuid4().hex}"
-    extra.write.parquet(path)
-    extra = docs.sparkSession.read.parquet(path)
-    return docs.join(extra, docs["doc_id"] == extra["_dropped"], "left_anti")
+    ids.selectExpr("_dropped", "stay > 0 OR _dropped IS NULL AS _some").write.parquet(path)
+    ids = docs.sparkSession.read.parquet(path)
+    some = ids.where("_some")
+    if some.isEmpty():
+        return docs.join(ids, docs["doc_id"] == ids["_dropped"], "left_anti")
+    rest = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_dropped"]), "left_anti")
+    looked = docs.join(some, docs["doc_id"].eqNullSafe(some["_dropped"]), "left_semi")
+    boxed = looked.select(F.struct("*").alias("row"))
+    texts = _signed(boxed.where("row.text IS NOT NULL").select("row", "row.text"))
+    texts = texts.withColumn("doc_id", F.col("row.doc_id").cast("bigint"))
+    texts = texts.join(kept, _same(texts, kept))
+    order = Window.partitionBy("doc_id", *_FP).orderBy(F.to_json("row"))
+    one = texts.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
+    return rest.union(boxed.where("row.text IS NULL").select("row.*")).union(one)

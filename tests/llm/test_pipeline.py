@@ -161,3 +161,33 @@ def test_near_duplicates_drops_all_that_accepted_pairs_join(spark, monkeypatch):
     monkeypatch.setattr(simhash, "sign", lambda docs: docs)
     docs = spark.createDataFrame(unseen_pairs(), UNSEEN)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(0, 40, 2))
+
+
+def test_near_duplicates_compares_texts_whatever_their_ids(spark):
+    """Of all rows within 40 bits one stays, of the smallest id: also where rows share an id, repeat or have none."""
+    rng = np.random.default_rng(6)
+    word = lambda: f"w{rng.integers(10**9)}"
+    rows = []
+    for _ in range(40):
+        words = [word() for _ in range(150)]
+        for _ in range(rng.integers(1, 5)):
+            copy = list(words)
+            for k in rng.choice(150, rng.integers(0, 6), replace=False).tolist():
+                copy[k] = word()
+            doc = int(rng.integers(0, 25))
+            rows += [(None if doc < 4 else doc, " ".join(copy))] * int(rng.integers(1, 3))
+    rows += [(None, "word for word the same"), (None, "word for word the same"), (4, None), (None, None), (60, None)]
+    frame = [(d, t, i, "x", 1, {"k": i % 2}) for i, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame(frame, "doc_id bigint, text string, row int, f0 string, `a.b` int, m map<string,int>").repartition(5)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.schema == docs.schema
+    kept = sorted(r["row"] for r in got.collect())
+    number = [i for i, (_, t) in enumerate(rows) if t is not None]
+    group = groups_of(number, simhash.fingerprints([rows[i][1] for i in number]), 40)
+    assert [i for i in kept if i not in group] == [len(rows) - 3, len(rows) - 2, len(rows) - 1]
+    kept = {group[i]: rows[i][0] for i in kept if i in group}
+    ids = {g: [rows[i][0] for i in number if group[i] == g] for g in group.values()}
+    assert kept == {g: min((d for d in all_ids if d is not None), default=None) for g, all_ids in ids.items()}
+    assert got.count() == len(ids) + 3 and None in kept.values()
+    repeats = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "d e f"), (2, "d e f"), (3, None)], "doc_id bigint, text string")
+    assert sorted(corpus_pipeline.near_duplicates(spark, repeats, "").collect(), key=str) == [(1, "a b c"), (1, "d e f"), (3, None)]
