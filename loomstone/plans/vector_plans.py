@@ -84,9 +84,18 @@ def greedy_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word's vector by id (its length here); only the column asked for is read."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    docs = table(spark, sf_dir, "documents")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
-    return words.join(rows, F.length("word") == F.col("vec_id")).select("doc_id", "pos", "first")
+    return _looked_up(docs, rows)
+
+
+def _looked_up(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Words have few lengths, so a join that shuffles them by length puts most in a few tasks: the rows of lengths that
+    occur are broadcast instead, and words stay where they are."""
+    asked = docs.select(F.explode(F.array_distinct(F.transform(F.split("text", " "), F.length))).alias("n")).distinct()
+    held = F.broadcast(rows.join(asked, F.col("vec_id") == F.col("n"), "left_semi"))
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return words.join(held, F.length("word") == F.col("vec_id")).select("doc_id", "pos", "first")
 
 
 @query(
